@@ -1,0 +1 @@
+"""Nothing streams here: an audit works on a whole table version."""
