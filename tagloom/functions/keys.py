@@ -81,82 +81,94 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _compose_hangul(text: Column) -> Column:
-    """Join conjoining jamo into syllables, as canonical composition does."""
+def _apply(sql_lambda: str, value: Column) -> Column:
+    """Apply a lambda written in SQL: a long expression stays one call from Python."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(sql_lambda)), F.lit(0))
 
-    def unit(g: Column) -> Column:
-        first, second, third = (F.ascii(F.substring(g, i, 1)) for i in (1, 2, 3))
-        triple = (first - 0x1100) * 588 + (second - 0x1161) * 28 + 0xAC00
-        tail = F.when(F.length(g) == 3, third - 0x11A7).otherwise(0)
-        # A syllable followed by a final consonant is composed only when it has none yet.
-        open_syllable = (first >= 0xAC00) & ((first - 0xAC00) % 28 == 0)
-        code = F.when(first < 0x1200, triple + tail).when(open_syllable, first + second - 0x11A7)
-        made = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-        return F.when((F.length(g) > 1) & code.isNotNull(), made).otherwise(g)
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_JAMO_UNIT), F.lit(0)), unit), "")
+def _quoted(text: str) -> str:
+    return "r'" + text + "'"
 
 
-def _folded(text: Column, keep: str = "", mark: str = "") -> Column:
-    """Fold the whole text at once; characters of the class ``keep`` stay, others
-    that are no letter or digit become ``mark``."""
+# Conjoining jamo become syllables, as canonical composition does: a leading
+# consonant, a vowel and an optional tail, or an open syllable and a tail.
+_JAMO_UNIT = (
+    r"(?s)[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?"
+    r"|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]|."
+)
+_COMPOSE_JAMO = f"""
+  w -> array_join(transform(regexp_extract_all(w, {_quoted(_JAMO_UNIT)}, 0), g ->
+    coalesce(decode(unhex(lpad(hex(CASE
+      WHEN length(g) > 1 AND ascii(g) < 4608 THEN
+        (ascii(g) - 4352) * 588 + (ascii(substring(g, 2, 1)) - 4449) * 28 + 44032
+        + CASE WHEN length(g) = 3 THEN ascii(substring(g, 3, 1)) - 4519 ELSE 0 END
+      WHEN length(g) = 2 AND ascii(g) >= 44032 AND (ascii(g) - 44032) % 28 = 0 THEN
+        ascii(g) + ascii(substring(g, 2, 1)) - 4519
+    END), 4, '0')), 'UTF-16BE'), g)), '')
+"""
+_HAS_JAMO = r"[\x{1100}-\x{11FF}\x{3131}-\x{318E}\x{FFA1}-\x{FFDC}]"
+
+
+@cache
+def _fold_sql(name: str, keep: str = "", mark: str = "") -> str:
+    """SQL that folds the text ``name`` at once; characters of the class ``keep``
+    stay, others that are no letter or digit become ``mark``."""
     source, target, many = _fold_table()
-    expand = F.str_to_map(
-        F.lit(",".join(f"{c}:{key}" for c, key in many.items())), F.lit(","), F.lit(":")
-    )
-    expanded = F.when(
-        text.rlike(_char_class("".join(many))),
-        F.array_join(
-            F.transform(
-                F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
-                lambda c: F.coalesce(F.try_element_at(expand, c), c),
-            ),
-            "",
-        ),
-    ).otherwise(text)
+    pairs = ",".join(f"{c}:{key}" for c, key in many.items())
+    expanded = f"""CASE WHEN {name} RLIKE {_quoted(_char_class("".join(many)))} THEN
+      array_join(transform(regexp_extract_all({name}, r'(?s).', 0),
+        c -> coalesce(try_element_at(str_to_map('{pairs}', ',', ':'), c), c)), '')
+      ELSE {name} END"""
     other = rf"[^\p{{L}}\p{{Nd}}{keep}]|[\x{{10000}}-\x{{10FFFF}}]"
-    wide = F.regexp_replace(F.translate(expanded, source, target), other, mark)
-    jamo = r"[\x{1100}-\x{11FF}\x{3131}-\x{318E}\x{FFA1}-\x{FFDC}]"
-    return (
-        F.when(text.rlike(_ASCII), F.regexp_replace(F.lower(text), f"[^a-z0-9{keep}]", mark))
-        .when(text.rlike(jamo), let(wide, _compose_hangul))
-        .otherwise(wide)
-    )
+    wide = f"regexp_replace(translate({expanded}, '{source}', '{target}'), {_quoted(other)}, '{mark}')"
+    return f"""CASE
+      WHEN {name} RLIKE {_quoted(_ASCII)} THEN regexp_replace(lower({name}), {_quoted(f"[^a-z0-9{keep}]")}, '{mark}')
+      WHEN {name} RLIKE {_quoted(_HAS_JAMO)} THEN get(transform(array({wide}), {_COMPOSE_JAMO}), 0)
+      ELSE {wide} END"""
 
 
 def name_key(text: Column) -> Column:
     """normalisation key; '' for null or blank."""
-    return F.coalesce(_folded(text), F.lit(""))
+    return F.coalesce(_apply(f"kt -> {_fold_sql('kt')}", text), F.lit(""))
+
+
+def name_keys(values: Column) -> Column:
+    """F1 over a list."""
+    return F.call_function("transform", values, F.expr(f"kt -> coalesce({_fold_sql('kt')}, '')"))
+
+
+@cache
+def _tokens_sql(name: str, separators: str) -> str:
+    parts = f"split({_fold_sql(name, separators)}, {_quoted(f'[{separators}]+')})"
+    return f"coalesce(filter({parts}, t -> t <> ''), cast(array() AS array<string>))"
 
 
 def token_keys(text: Column, separators: str) -> Column:
     """Keys of the tokens (F4 then F1), without empty ones. No separator folds to a
     letter and no letter to a separator, so folding first and splitting then
     gives the same keys with one pass over the text."""
-    parts = F.split(_folded(text, separators), f"[{separators}]+")
-    return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))
+    return _apply(f"kt -> {_tokens_sql('kt', separators)}", text)
 
 
 _SYMBOL = "\x01"
 
 
+@cache
+def _ngrams_sql(name: str, separators: str) -> str:
+    parts = f"filter(split({_fold_sql(name, separators, _SYMBOL)}, {_quoted(f'[{separators}]+')}), t -> t <> '')"
+    runs = ", ".join(
+        f"transform(CASE WHEN size(ts) >= {n} THEN sequence(1, size(ts) - {n - 1}) ELSE cast(array() AS array<int>) END,"
+        f" i -> translate(array_join(slice(ts, i, {n}), ''), '{_SYMBOL}', ''))"
+        for n in (3, 2, 1)
+    )
+    return f"""coalesce(concat(array(coalesce({_fold_sql(name)}, '')),
+      get(transform(array({parts}), ts -> concat({runs})), 0)), cast(array() AS array<string>))"""
+
+
 def ngram_keys(text: Column, separators: str) -> Column:
     """Key of the whole text, then of runs of 3, 2, 1 tokens, left to right.
     A token of symbols only still counts as a token of a run."""
-
-    def runs(t: Column, n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(
-            starts, lambda i: F.translate(F.array_join(F.slice(t, i, F.lit(n)), ""), _SYMBOL, "")
-        )
-
-    parts = F.filter(
-        F.split(_folded(text, separators, _SYMBOL), f"[{separators}]+"), lambda t: t != ""
-    )
-    grams = let(parts, lambda t: F.concat(runs(t, 3), runs(t, 2), runs(t, 1)))
-    return F.coalesce(F.concat(F.array(name_key(text)), grams), F.array().cast("array<string>"))
+    return _apply(f"kt -> {_ngrams_sql('kt', separators)}", text)
 
 
 @pandas_udf(T.StringType())
