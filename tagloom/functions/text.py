@@ -115,7 +115,7 @@ def tokens(text: Column, separators: str) -> Column:
 
 
 def segments(folder: Column) -> Column:
-    return F.filter(F.transform(F.split(folder, "/"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(folder, "/"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def is_placeholder(title: Column) -> Column:
@@ -267,7 +267,7 @@ def head_of(segment: Column) -> Column:
 
 def alias_lines(text: Column) -> Column:
     """one alias per line."""
-    lines = F.transform(F.split(text, r"[\r\n]+"), F.trim)
+    lines = F.transform(F.split(text, r"[\r\n]+"), lambda s: F.trim(s))
     return F.array_distinct(F.filter(lines, lambda x: x != ""))
 
 

@@ -496,7 +496,7 @@ def clean_aliases(dictionary: Dictionary, only: str | None = None) -> Dictionary
 def _fresh(values: Column, taken: Column) -> Column:
     """Trimmed values whose key is neither taken nor given before; empty keys pass."""
     keyed = F.transform(
-        F.filter(F.transform(values, F.trim), lambda a: a != ""),
+        F.filter(F.transform(values, lambda s: F.trim(s)), lambda a: a != ""),
         lambda a: F.struct(a.alias("v"), name_key(a).alias("k")),
     )
     fresh = F.filter(keyed, lambda p: (p["k"] == "") | ~F.array_contains(taken, p["k"]))

@@ -13,6 +13,9 @@ from tagloom.operators.lookup import Index
 from tagloom.schema import FIELDS
 from tagloom.sources.dictionary import Dictionary, from_rows
 
+# A Japanese name whose Shift-JIS bytes were read as Latin-1.
+MISREAD = "カラヤン".encode("cp932").decode("latin-1")
+
 SCALARS = """
 WITH comp(i, v) AS (VALUES (0,'Johannes Brahms'),(1,'Antonín Dvořák'),(2,'Anton Bruckner'),(3,'Franz Schubert'),(4,'Ludwig van Beethoven')),
 seg(i, v) AS (VALUES (0,'Brahms'),(1,'Dvorak'),(2,'Bruckner'),(3,'Schubert'),(4,'Beethoven')),
@@ -35,7 +38,7 @@ SELECT b.k AS track_id, b.f AS f,
        CASE WHEN b.k % 29 = 0 THEN 'Clara Unknown' END AS composer2,
        CASE WHEN b.k % 4 = 0 THEN CAST(NULL AS STRING) ELSE pf.v END AS conductor,
        CASE WHEN b.f % 10 = 7 THEN concat(jseg.v, ' ', CAST(b.f % 9 + 1 AS STRING)) WHEN b.f % 10 = 3 THEN 'Symphony No.1' WHEN b.k % 31 = 0 THEN CAST(NULL AS STRING) ELSE concat('Symphony No.', CAST(b.f % 9 + 1 AS STRING)) END AS album,
-       CASE WHEN b.k % 19 = 0 THEN CAST(NULL AS STRING) WHEN b.k % 23 = 0 THEN 'Opera' ELSE 'Classic' END AS genre,
+       CASE WHEN b.k % 19 = 0 THEN CAST(NULL AS STRING) WHEN b.k % 23 = 0 THEN 'Opera' WHEN b.k % 97 = 0 THEN 'MISREAD' ELSE 'Classic' END AS genre,
        CASE WHEN b.f % 3 = 0 THEN dt.v ELSE '1975' END AS date,
        concat(CAST(b.k % 12 + 1 AS STRING), '/12') AS tracknumber,
        ds.v AS discnumber
@@ -45,7 +48,7 @@ JOIN perf pf ON pf.i = b.f % 6 JOIN avar av ON av.i = b.k % 6
 JOIN ens en ON en.i = b.k % 11 JOIN cvar cv ON cv.i = b.k % 8
 JOIN titles tt ON tt.i = b.k % 12 JOIN dates dt ON dt.i = b.k % 5
 JOIN discs ds ON ds.i = CASE WHEN b.f % 11 = 0 THEN b.k % 4 ELSE b.k % 2 END
-"""
+""".replace("MISREAD", MISREAD)
 
 COMPOSERS = [
     ("Johannes Brahms", ["Brahms", "Brahmus"], ["ブラームス"]),
@@ -144,3 +147,81 @@ def fixture_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[lists[f].alias(f) for f in FIELDS],
         F.map_from_entries(F.array().cast("array<struct<k:string,v:array<string>>>")).alias("raw_tags"),
     )
+
+
+def fixture_snapshot(tracks: DataFrame) -> DataFrame:
+    """An earlier state of the catalogue: some rows not there yet, some genres other."""
+    k = F.regexp_extract("relative_path", r"/(\d{12}) [^/]*$", 1).cast("long")
+    genre = F.when(k % 37 == 0, F.array(F.lit("Old"))).otherwise(F.col("genre"))
+    return tracks.filter(k % 31 != 0).withColumn("genre", genre)
+
+
+def fixture_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of manual edits, one or two per row: changes, repeats, clears, resets."""
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
+    rows = spark.sql(SCALARS.replace("FROM orders", "FROM {orders}"), orders=orders)
+    return rows.selectExpr(
+        "relative_path",
+        """inline(array(
+          struct(track_id * 2 AS seq, array('genre', 'artist', 'date', 'albumartist', 'discnumber')[track_id % 5] AS field,
+            array('Classic', ' Karl Böhm ', NULL, 'カラヤン', '1-1', 'Brahms', 'New; Name')[track_id % 7] AS value,
+            IF(track_id % 2 = 0, 3, 1) AS bulk_size),
+          struct(track_id * 2 + 1 AS seq, IF(track_id % 3 = 0, NULL, IF(track_id % 3 = 1, 'genre', 'composer')) AS field,
+            IF(track_id % 9 = 4, NULL, 'Classic') AS value, 1 AS bulk_size)))""",
+    )
+
+
+def derived_dictionary(spark: SparkSession, sf_dir: str, bundled: bool = True) -> Dictionary:
+    """A dictionary as large as the tables it is derived from, with typical faults.
+    The user's form (``bundled`` False) lacks a third of the entries and some aliases."""
+
+    def read(table: str, *columns: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+
+    def part(df: DataFrame) -> DataFrame:
+        return df if bundled else df.filter("ord % 3 <> 0")
+
+    second = "'AL-' || substr(md5(CAST(k % 1200 AS STRING)), 1, 8)" if bundled else "'Al ' || substr(md5(CAST(k % 1100 AS STRING)), 1, 8)"
+    composers = read("customer", "c_custkey").selectExpr("c_custkey AS k").selectExpr(
+        "CAST(k AS LONG) AS ord", "'Ca ' || substr(md5(CAST(k % 1300 AS STRING)), 1, 10) AS canonical",
+        f"array({second}, upper('Ca ' || substr(md5(CAST(k % 1300 AS STRING)), 1, 10)), 'Ca' || substr(md5(CAST(k % 1300 AS STRING)), 1, 10)) AS aliases",
+        "CAST(array() AS ARRAY<STRING>) AS aliases_ja",
+    )
+    persons = read("supplier", "s_suppkey").selectExpr("s_suppkey AS k").selectExpr(
+        "CAST(k AS LONG) AS ord", "'Pe ' || md5(CAST(k AS STRING)) AS canonical",
+        "CASE WHEN k % 5 = 0 THEN CAST(array() AS ARRAY<STRING>) WHEN k % 7 = 0 THEN array('Dancer') ELSE array('Conductor') END AS roles",
+        "array('AL-' || substr(md5(CAST(k AS STRING)), 1, 8)) AS aliases", "CAST(array() AS ARRAY<STRING>) AS aliases_ja",
+    )
+    ensembles = read("part", "p_partkey").selectExpr("p_partkey AS k").selectExpr(
+        "CAST(k AS LONG) AS ord", "'e' || CAST(k % 1900 AS STRING) AS entity_id",
+        "CASE WHEN k % 3 = 0 THEN NULL ELSE 'En ' || md5(CAST(k AS STRING)) END AS canonical",
+        """CASE WHEN k % 4 <> 0 THEN CAST(array() AS ARRAY<STRUCT<from_year: INT, until_year: INT, canonical: STRING>>)
+           ELSE array(struct(CAST(NULL AS INT) AS from_year, 1950 AS until_year, 'Ea ' || md5(CAST(k AS STRING)) AS canonical),
+                      struct(1940 + CAST(k % 3 AS INT) * 10 AS from_year, CAST(NULL AS INT) AS until_year, 'Eb ' || md5(CAST(k AS STRING)) AS canonical)) END AS eras""",
+        "k % 5 = 0 AS no_era_split", f"k % 11 = 0 AND {str(bundled).lower()} AS no_conductor",
+        "CAST(array() AS ARRAY<STRING>) AS aliases", "CAST(array() AS ARRAY<STRING>) AS aliases_ja",
+    )
+    works = read("part", "p_partkey").selectExpr("p_partkey AS k").selectExpr(
+        "CAST(k AS LONG) AS ord",
+        """CASE WHEN k % 50 = 1 THEN 'Cb ' || substr(md5(CAST(k % 1300 AS STRING)), 1, 10)
+           WHEN k % 50 = 2 THEN 'Nobody ' || md5(CAST(k AS STRING)) ELSE 'Ca ' || substr(md5(CAST(k % 1300 AS STRING)), 1, 10) END AS composer""",
+        "CASE WHEN k % 60 = 0 THEN '' ELSE 'Opus ' || CAST(k % 4 AS STRING) END AS canonical",
+        "array('op' || CAST(k % 6 AS STRING), 'OPUS' || CAST(k % 4 AS STRING)) AS aliases", "CAST(array() AS ARRAY<STRING>) AS aliases_ja",
+    )
+    overrides = read("orders", "o_orderkey").selectExpr("o_orderkey AS k").selectExpr(
+        "CAST(k AS LONG) AS ord", "CASE WHEN k % 100 = 0 THEN '' ELSE 'f/' || CAST(k AS STRING) END AS folder", "CAST(NULL AS INT) AS disc",
+        "CASE WHEN k % 4 = 0 THEN 'X' END AS composer", "CAST(NULL AS STRING) AS work_name",
+        "CASE WHEN k % 6 = 0 THEN '19xx' WHEN k % 6 = 1 THEN '1990' END AS date", "k % 9 = 0 AS exclude",
+        "CASE WHEN k % 7 = 0 THEN '' ELSE 'note' END AS note",
+    )
+    typos = read("nation", "n_nationkey").selectExpr(
+        "CAST(n_nationkey AS LONG) AS ord", "CASE WHEN n_nationkey % 8 = 0 THEN '(' || CAST(n_nationkey AS STRING) ELSE 'x' || CAST(n_nationkey AS STRING) END AS pattern",
+        "CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'y' END AS replacement", "'' AS note",
+    )
+    protected = read("supplier", "s_suppkey").selectExpr(
+        "CAST(s_suppkey AS LONG) AS ord", "CASE WHEN s_suppkey % 40 = 0 THEN '!!' ELSE 'Pr ' || CAST(s_suppkey % 80 AS STRING) END AS value"
+    )
+    return Dictionary(
+        composers=part(composers), persons=part(persons), ensembles=part(ensembles), works=works, overrides=overrides,
+        typos=part(typos), protected=part(protected), version=2 if bundled else 1,
+    )
