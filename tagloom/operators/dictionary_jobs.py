@@ -301,23 +301,34 @@ def _entry_names(dictionary: Dictionary) -> DataFrame:
     return reduce(DataFrame.unionByName, [*simple, ensembles])
 
 
+def _entries(dictionary: Dictionary) -> DataFrame:
+    """(category, ord, entry, target) of every entry, named or not."""
+    simple = [
+        t.select(F.lit(c).alias("category"), "ord", name_key(F.col("canonical")).alias("entry"), F.col("canonical").alias("target"))
+        for c, t in (("composer", dictionary.composers), ("person", dictionary.persons))
+    ]
+    ensembles = dictionary.ensembles.select(
+        F.lit("ensemble").alias("category"), "ord", F.lower("entity_id").alias("entry"), F.col("entity_id").alias("target")
+    )
+    return reduce(DataFrame.unionByName, [*simple, ensembles])
+
+
 _ITEM = ["kind", "category", "target", "detail", "item_ord"]
 
 
 def merge_plan(user: Dictionary, bundled: Dictionary) -> DataFrame:
     """What the bundled dictionary has and the user's has not."""
-    mine, theirs = _entry_names(user), _entry_names(bundled)
-    first = mine.groupBy("category", "entry").agg(F.min("ord").alias("ord"))
-    held = mine.join(first, ["category", "entry", "ord"])
-    heads = held.groupBy("category", "entry").agg(F.min("target").alias("mine"))
-    known = theirs.join(heads, ["category", "entry"], "left")
-    added = known.filter("mine is null").select("category", "target", "ord").distinct().select(
+    heads = _entries(user).groupBy("category", "entry").agg(
+        F.min("ord").alias("ord"), F.min_by("target", "ord").alias("mine")
+    )
+    held = _entry_names(user).join(heads.select("category", "entry", "ord"), ["category", "entry", "ord"])
+    added = _entries(bundled).join(heads, ["category", "entry"], "left_anti").select(
         F.concat(F.lit("add_"), "category").alias("kind"), "category", "target", F.lit("").alias("detail"),
         F.struct("ord", F.lit(-1).alias("seq")).alias("item_ord"),
     )
+    known = _entry_names(bundled).join(heads.select("category", "entry", "mine"), ["category", "entry"])
     aliases = (
-        known.filter("mine is not null")
-        .join(held.select("category", "entry", "key").distinct(), ["category", "entry", "key"], "left_anti")
+        known.join(held.select("category", "entry", "key").distinct(), ["category", "entry", "key"], "left_anti")
         .select(
             F.lit("add_alias").alias("kind"), "category", F.col("mine").alias("target"), F.col("name").alias("detail"),
             F.struct("ord", "seq").alias("item_ord"),

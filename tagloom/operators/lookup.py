@@ -9,6 +9,7 @@ limit the same search runs as explode, join, and a partial ``min`` per row.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,29 +35,27 @@ KINDS = {
 def dict_names(dictionary: Dictionary) -> DataFrame:
     """Every registered name with its key: category, ord, seq, owner columns, name, source."""
 
-    def exploded(table: DataFrame, category: str, *keep: str) -> DataFrame:
-        named = F.concat(
-            F.array(F.struct(F.lit("canonical").alias("source"), F.col("canonical").alias("name"))),
-            F.transform("aliases", lambda a: F.struct(F.lit("alias").alias("source"), a.alias("name"))),
-            F.transform("aliases_ja", lambda a: F.struct(F.lit("alias_ja").alias("source"), a.alias("name"))),
-        )
-        if category == "ensemble":
-            named = F.concat(
-                F.transform("eras", lambda e: F.struct(F.lit("era").alias("source"), e["canonical"].alias("name"))),
-                named,
-            )
-        return (
-            table.select(F.lit(category).alias("category"), "ord", *keep, F.posexplode(named).alias("seq", "n"))
-            .filter("n.name is not null")
-            .select("category", "ord", "seq", *keep, "n.source", "n.name", name_key(F.col("n.name")).alias("key"))
-        )
+    def element(source: str):
+        return lambda name: F.struct(F.lit(source).alias("source"), name.alias("name"))
 
-    composers = exploded(dictionary.composers, "composer", "canonical")
-    persons = exploded(dictionary.persons, "person", "canonical")
-    ensembles = exploded(
-        dictionary.ensembles.withColumn("label", ensemble_label()), "ensemble", "label"
-    ).withColumnRenamed("label", "canonical")
-    return composers.unionByName(persons).unionByName(ensembles)
+    def exploded(table: DataFrame, category: str) -> DataFrame:
+        parts = [
+            F.array(element("canonical")(F.col("canonical"))),
+            F.transform("aliases", element("alias")),
+            F.transform("aliases_ja", element("alias_ja")),
+        ]
+        keep, owner = ["canonical"], F.col("canonical")
+        if category == "ensemble":
+            parts.insert(0, F.transform("eras", lambda e: element("era")(e["canonical"])))
+            keep, owner = ["canonical", "eras", "entity_id"], ensemble_label()
+        rows = table.select("ord", *keep, F.posexplode(F.concat(*parts)).alias("seq", "n"))
+        return rows.select(
+            F.lit(category).alias("category"), "ord", "seq", owner.alias("canonical"),
+            F.col("n.source").alias("source"), F.col("n.name").alias("name"), name_key(F.col("n.name")).alias("key"),
+        ).filter("name is not null")
+
+    tables = {"composer": dictionary.composers, "person": dictionary.persons, "ensemble": dictionary.ensembles}
+    return reduce(DataFrame.unionByName, [exploded(t, c) for c, t in tables.items()])
 
 
 def ensemble_label() -> Column:

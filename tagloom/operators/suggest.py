@@ -288,7 +288,9 @@ def works_template(units: DataFrame, index: Index) -> dict[str, DataFrame]:
 
 def audit_report(tracks: DataFrame, index: Index) -> dict[str, DataFrame]:
     """Every report in one run, from one set of units."""
-    units = reports.report_units(tracks, index)
+    # Units are far fewer than tracks and serve every report; losing an executor only
+    # recomputes its part.
+    units = reports.report_units(tracks, index).persist()
     made = {
         "inventory": reports.inventory(units),
         "multi_disc_folders": reports.multi_disc_folders(units),

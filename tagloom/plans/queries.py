@@ -100,9 +100,10 @@ def q_verify(spark, sf):
 
 
 def q_remaining(spark, sf):
-    """Findings left after an apply that only the multi-proposal fields blocked."""
-    changes = proposals(spark, sf)
-    done = A.succeeded_fields(changes, A.verify(A.apply_plan(changes), A.overlay(fixture_tracks(spark, sf), A.apply_plan(changes))), A.apply_conflicts(changes))
+    """Findings left after an apply: only fields with differing proposals keep theirs."""
+    changes = proposals(spark, sf).persist()
+    conflicts = A.apply_conflicts(changes)
+    done = A.succeeded_fields(changes, conflicts.filter(F.lit(False)), conflicts)
     return G.remove_findings(changes, done).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
@@ -233,7 +234,7 @@ def q_suggest_names(spark, sf):
 
 
 def q_suggest_works(spark, sf):
-    units = album_units(C.with_derived(fixture_tracks(spark, sf)), fixture_index(spark))
+    units = album_units(C.with_derived(fixture_tracks(spark, sf)), fixture_index(spark)).persist()
     single = units.filter(F.size("composers") == 1).select("folder", "disc", F.get("composers", F.lit(0)).alias("composer"), "albums")
     return S.suggest_works(single, fixture_index(spark))
 
@@ -245,7 +246,7 @@ def q_hints(spark, sf):
 
 def q_template(spark, sf):
     use_test_checkpoints(spark)
-    made = S.works_template(report_units(spark, sf), fixture_index(spark))
+    made = S.works_template(report_units(spark, sf).persist(), fixture_index(spark))
     return made["works"].select("composer", texts("aliases").alias("aliases"), texts("aliases_ja").alias("aliases_ja"))
 
 
