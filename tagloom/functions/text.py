@@ -173,11 +173,16 @@ def diacritic_words(title: Column) -> Column:
 
 
 def diacritic_suggestion(title: Column) -> Column:
-    text = title
-    for plain, correct in DIACRITIC_WORDS:
-        present = F.array_contains(diacritic_words(title), plain)
-        text = F.when(present, F.replace(text, F.lit(plain), F.lit(correct))).otherwise(text)
-    return text
+    """The title with the found spellings replaced, case-sensitively."""
+
+    def replaced(words: Column) -> Column:
+        text = title
+        for plain, correct in DIACRITIC_WORDS:
+            wanted = F.when(F.array_contains(words, plain), correct).otherwise(plain)
+            text = F.replace(text, F.lit(plain), wanted)
+        return text
+
+    return F.get(F.transform(F.array(diacritic_words(title)), replaced), F.lit(0))
 
 
 def java_replacement(replacement: str) -> str:

@@ -17,7 +17,7 @@ from tagloom.functions import text as X
 from tagloom.functions.keys import folder_lookup_key, let, name_key, token_keys
 from tagloom.sources.dictionary import Dictionary
 
-LITERAL_LIMIT = 20_000
+LITERAL_LIMIT = 4_000
 
 KINDS = {
     "composer": "composer is not null",

@@ -83,21 +83,26 @@ def unit_works(tracks: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def folder_works(units: DataFrame, index: Index) -> DataFrame:
-    """Works that the folder names: last segment first, whole before its head."""
-    parts = F.reverse(X.segments(F.col("folder")))
+def with_folder_works(units: DataFrame, index: Index) -> DataFrame:
+    """Adds the work that the folder names: last segment first, whole before its head.
+
+    The units are already spread by (folder, disc), so trying the segments and
+    folding back to one row per unit needs no further shuffle."""
     candidates = F.flatten(
-        F.transform(parts, lambda s: F.array(s, X.head_of(s)))
+        F.transform(F.reverse(X.segments(F.col("folder"))), lambda s: F.array(s, X.head_of(s)))
+    )
+    tried = units.select("*", F.posexplode_outer(candidates).alias("_pos", "_text")).withColumn(
+        "_key", F.nullif(name_key(F.col("_text")), F.lit(""))
     )
-    exploded = (
-        units.select(*UNIT, "unit_composer", F.posexplode(candidates).alias("pos", "text"))
-        .filter("text is not null")
-        .withColumn("_key", name_key(F.col("text")))
+    hits = tried.join(
+        index.works, (F.col("_key") == F.col("work_key")) & (F.col("unit_composer") == F.col("work_composer")), "left"
     )
-    hits = exploded.join(
-        index.works, (F.col("_key") == F.col("work_key")) & (F.col("unit_composer") == F.col("work_composer"))
+    facts = [c for c in units.columns if c not in UNIT]
+    folded = hits.groupBy(*UNIT).agg(
+        F.first(F.struct(*facts)).alias("_facts"),
+        F.min(F.when(F.col("work").isNotNull(), F.struct("_pos", "work"))).alias("_best"),
     )
-    return hits.groupBy(*UNIT).agg(F.min_by("work", "pos").alias("work_from_folder"))
+    return folded.select(*UNIT, "_facts.*", F.col("_best.work").alias("work_from_folder"))
 
 
 def decide_album_names(tracks: DataFrame, index: Index) -> DataFrame:
@@ -107,8 +112,8 @@ def decide_album_names(tracks: DataFrame, index: Index) -> DataFrame:
     composer = F.coalesce("override.composer", sole("composer"))
     units = facts.filter(~F.coalesce("override.exclude", F.lit(False))).withColumn("unit_composer", composer)
     if index.has_works:
-        units = units.join(unit_works(tracks, index), [*UNIT, "unit_composer"], "left").join(
-            folder_works(units, index), UNIT, "left"
+        units = with_folder_works(units, index).join(
+            unit_works(tracks, index), [*UNIT, "unit_composer"], "left"
         )
     else:
         nothing = F.lit(None).cast("string")

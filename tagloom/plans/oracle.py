@@ -626,6 +626,13 @@ def dictionary_sql() -> dict[str, str]:
     return {
         "dict_issues": issues + clash,
         "dict_merge_plan": merge,
+        "dict_merge_apply": f"""SELECT list, entries, 2 AS version FROM (
+          SELECT 'composers' AS list, (SELECT count(*) FROM ucomp) + count_if({ck} NOT IN (SELECT {ck} FROM ucomp)) AS entries FROM comp
+          UNION ALL SELECT 'persons', count_if(ord % 3 <> 0) + count_if({ck} NOT IN (SELECT {ck} FROM pers WHERE ord % 3 <> 0)) FROM pers
+          UNION ALL SELECT 'ensembles', count_if(ord % 3 <> 0) + count_if(entity_id NOT IN (SELECT entity_id FROM ens WHERE ord % 3 <> 0)) FROM ens
+          UNION ALL SELECT 'works', count(*) FROM wrk UNION ALL SELECT 'overrides', count(*) FROM ovr
+          UNION ALL SELECT 'typos', count(*) FROM typ
+          UNION ALL SELECT 'protected', count_if(ord % 3 <> 0) + count_if({K("value")} NOT IN (SELECT {K("value")} FROM prot WHERE ord % 3 <> 0)) FROM prot)""",
         "redundant_aliases": redundant,
         "canonical_names": "SELECT DISTINCT category, name FROM named WHERE source IN ('canonical', 'era')",
         "already_known": known,
