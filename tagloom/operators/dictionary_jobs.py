@@ -369,10 +369,9 @@ def needs_update(user: Dictionary, bundled: Dictionary) -> bool:
 
 
 def _after(table: DataFrame, new: DataFrame) -> DataFrame:
-    """Append rows behind the last one. The shift is one joined value, not a collect."""
-    last = table.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("_shift"))
-    shifted = new.join(F.broadcast(last)).withColumn("ord", F.col("ord") + F.col("_shift")).drop("_shift")
-    return table.unionByName(shifted.select(*table.columns))
+    """Append rows behind the last one; the shift is a scalar subquery, not a collect."""
+    shift = table.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("shift")).scalar()
+    return table.unionByName(new.withColumn("ord", F.col("ord") + shift).select(*table.columns))
 
 
 def _append_aliases(table: DataFrame, ident: Column, items: DataFrame) -> DataFrame:

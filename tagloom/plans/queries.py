@@ -251,7 +251,10 @@ def q_template(spark, sf):
 
 
 def use_test_checkpoints(spark: SparkSession) -> None:
-    """Where the cluster names no checkpoint folder (tests, local runs), use a new one."""
+    """In a local run without a checkpoint folder, use a new one. On a cluster the
+    folder must be named, because a machine's own folder does not survive it."""
+    if not spark.sparkContext.master.startswith("local"):
+        return
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 

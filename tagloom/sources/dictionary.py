@@ -190,7 +190,7 @@ def dictionary_document(dictionary: Dictionary) -> DataFrame:
 
     The document is one row because the format is one object; a dictionary too
     large for that is kept as the seven tables (``write_tables``)."""
-    document = None
+    lists = []
     for name, table in dictionary.tables().items():
         if name == "protected":
             entry, label = F.struct("ord", F.col("value").alias("e")), "protectedAlbumArtists"
@@ -210,10 +210,9 @@ def dictionary_document(dictionary: Dictionary) -> DataFrame:
                 made.append(column.alias(target))
             entry = F.struct("ord", F.struct(*made).alias("e"))
         part = table.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias(label))
-        document = part if document is None else document.crossJoin(part)
-    return document.select(
-        F.to_json(F.struct(F.lit(dictionary.version).alias("version"), *document.columns)).alias("value")
-    )
+        lists.append(part.scalar().alias(label))
+    one = dictionary.composers.sparkSession.range(1)
+    return one.select(F.to_json(F.struct(F.lit(dictionary.version).alias("version"), *lists)).alias("value"))
 
 
 def write_dictionary(dictionary: Dictionary, root: str, revision: int) -> str:
