@@ -25,8 +25,11 @@ from tagloom.llm.common import LOWER, SPACED, mix, part, prefix_sums, ranges, se
 WIDTH = 5
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-#: Signature slots that agree in a link of 0.75 number 96 +- 4.9; fewer than this is over five deviations off.
-ALIKE_SLOTS = 70
+#: Slots of the longer signature by which candidates are compared before their sets are. In a link of 0.75
+#: 384 +- 9.8 of them agree; fewer than ALIKE_SLOTS is over five deviations off.
+FINE_SLOTS, ALIKE_SLOTS = 512, 333
+#: A step of the longer signature keeps a kilobyte for each shingle.
+FINE_BYTES = 300_000
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 1024
 _UNSET = np.uint64((1 << 64) - 1)
@@ -55,36 +58,35 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[new], total[new]
 
 
-def _draw(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _draw(hashes: np.ndarray, level: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank (level in the high half, a random fraction in the low half) and the position that is swapped at this level."""
     x = mix(hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    place = np.uint64(level) + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(SLOTS - level)) >> np.uint64(32))
+    place = np.uint64(level) + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - level)) >> np.uint64(32))
     return (np.uint64(level) << np.uint64(32)) | (x >> np.uint64(32)), place.astype(np.int64)
 
 
-def signatures(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+def signatures(doc: np.ndarray, hashes: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash of n documents; a document without elements keeps the largest value in every slot."""
-    best = np.full(n * SLOTS, _UNSET, np.uint64)
-    rank, place = _draw(hashes, 0)
-    np.minimum.at(best, doc * SLOTS + place, rank)
-    for level in range(1, SLOTS):
-        if level == 1:
-            open_ = best.reshape(n, SLOTS).max(1)[doc] >= np.uint64(level << 32)
+    best = np.full(n * slots, _UNSET, np.uint64)
+    rank, place = _draw(hashes, 0, slots)
+    np.minimum.at(best, doc * slots + place, rank)
+    order = None
+    for level in range(1, slots):
+        open_ = (best.reshape(n, slots).max(1) >= np.uint64(level << 32))[doc]
+        if not open_.all():
             doc, hashes, place = doc[open_], hashes[open_], place[open_]
-            order = np.tile(np.arange(SLOTS, dtype=np.uint8), (len(doc), 1))
-            order[np.arange(len(doc)), place] = 0
-        else:
-            open_ = best.reshape(n, SLOTS).max(1)[doc] >= np.uint64(level << 32)
-            if not open_.all():
-                doc, hashes, order = doc[open_], hashes[open_], order[open_]
+            order = order[open_] if order is not None else None
         if not len(doc):
             break
-        rank, place = _draw(hashes, level)
         row = np.arange(len(doc))
-        slot = order[row, place]
+        if order is None:
+            order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(doc), 1))
+            order[row, place] = 0
+        rank, place = _draw(hashes, level, slots)
+        slot = order[row, place].astype(np.int64)
         order[row, place] = order[:, level]
-        np.minimum.at(best, doc * SLOTS + slot, rank)
-    return best.reshape(n, SLOTS)
+        np.minimum.at(best, doc * slots + slot, rank)
+    return best.reshape(n, slots)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,16 +107,24 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(ROWS):
                 key = mix(key * np.uint64(0x9FB21C651E98DF25) + best[:, j::ROWS])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(key.ravel().view(np.int64)))
-            short = (mix(best) & np.uint64(0xFFFF)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, n), pa.array(count.astype(np.int64)), *digest, bands, pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["id", "n_shingles", "hi", "lo", "bands", "sig"],
+                [batch.column(0).slice(low, n), pa.array(count.astype(np.int64)), *digest, bands, pa.array([r.tobytes() for r in key.astype(np.uint32)], pa.binary())],
+                names=["id", "n_shingles", "hi", "lo", "bands", "marks"],
             )
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of each slot of the longer signature."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        for low, high in steps(offsets, FINE_BYTES):
+            best = mix(signatures(*shingles(*part(data, offsets, low, high)), high - low, FINE_SLOTS)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in best], pa.binary())], names=["id", "sig"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SLOTS) for i in (2, 3))
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, FINE_SLOTS) for i in (2, 3))
         yield batch.select([0, 1]).filter(pa.array((left == right).sum(1) >= ALIKE_SLOTS))
 
 
@@ -136,12 +146,17 @@ def _confirm(percent: int) -> Callable:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Alike pairs of different components in each block (key, i, j); rows come sorted by block."""
+    """Alike pairs of different components in each block (key, i, j); rows come sorted by block.
+
+    A pair that shares several buckets is taken in the one of their first common band.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, label, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, BANDS)
+        band = int((marks[0] == np.uint32(table.column("key")[0].as_py() & 0xFFFFFFFF)).argmax())
         same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         values, count = np.unique(label, return_counts=True)
         most = values[count.argmax()]
@@ -150,6 +165,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = (label != label[x]) & ((label == most) | (node > node[x]))
             other = np.flatnonzero(other if same else other & (own != own[x]))
             other = other[(sig[other] == sig[x]).sum(1) >= ALIKE_SLOTS]
+            other = other[(marks[other] == marks[x]).argmax(1) == band]
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[other], node[x])), pa.array(np.maximum(node[other], node[x]))], schema=schema)
 
@@ -211,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 75:
         raise ValueError("the bands are set for a similarity of 0.75 or more")
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = settle(source.mapInArrow(_sketch, "id bigint, n_shingles bigint, hi bigint, lo bigint, bands array<bigint>, sig binary"), "sketches")
+    sketches = settle(source.mapInArrow(_sketch, "id bigint, n_shingles bigint, hi bigint, lo bigint, bands array<bigint>, marks binary"), "sketches")
     real = sketches.where("id IS NOT NULL AND n_shingles > 0")
     classes = settle(real.groupBy("hi", "lo").agg(F.min("id").alias("node")), "classes")
     firsts = real.join(classes.withColumnRenamed("node", "id"), ["hi", "lo", "id"], "left_semi")
@@ -219,8 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = band.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
     members = settle(band.join(buckets.select("key", "pivot"), "key"), "buckets")
     wanted = members.select(F.col("node").alias("id")).distinct()
-    sigs = settle(firsts.select("id", "sig").join(wanted, "id", "left_semi"), "signatures")
     texts = settle(source.join(wanted, "id", "left_semi"), "texts")
+    sigs = texts.mapInArrow(_fine, "id bigint, sig binary").join(firsts.select("id", "marks"), "id")
+    sigs = settle(sigs, "signatures")
 
     def of(df: DataFrame, side: str, value: str) -> DataFrame:
         return df.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}"))
@@ -242,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = labelled.join(open_, "key").join(sigs.withColumnRenamed("id", "node"), "node")
     rows = rows.withColumn("own", F.pmod(F.hash("node"), "blocks")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "node", "label", "own", "sig")
+    rows = rows.select("key", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "node", "label", "own", "sig", "marks")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = rows.mapInArrow(_across, "a bigint, b bigint").distinct().join(star, ["a", "b"], "left_anti")
     more = confirmed(settle(rest, "rest"))

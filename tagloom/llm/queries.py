@@ -2,25 +2,172 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tagloom.llm.chat import format_chats
+from tagloom.llm.decontaminate import contamination
+from tagloom.llm.language_crf import languages
 from tagloom.llm.near_dedup import near_duplicates
+from tagloom.llm.packing import pack
+from tagloom.llm.quality import quality_verdicts
+from tagloom.llm.sharding import SLOTS, assign, lookup_table
+from tagloom.llm.suffix_dedup import repeated_spans
+from tagloom.llm.token_counts import token_counts
+from tagloom.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
+SHARDS = 32
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file; $TOKENIZERS names another folder."""
+    folder = os.environ.get("TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return pack(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = spark.range(SHARDS).select(F.format_string("shard-%03d", "id").alias("shard"))
+    return assign(table(spark, sf_dir, "documents"), lookup_table(shards))
+
+
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("carried")
+
+
+def op8_maximal_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).drop("prefixes")
+
+
+def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op6_superminhash": op6_superminhash,
+    f.__name__: f
+    for f in (
+        op1_permutation_sharding, op2_crf_language, op3_isolation_forest, op4_suffix_dedup, op5_suffix_automaton, op6_superminhash,
+        op7_compression_distance, op8_maximal_chats, op9_prefix_token_counts, op10_bin_completion,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_NUMBER = "CAST('0x' || substr(md5({}), {}, 12) AS BIGINT)"
+
+OP1 = f"""
+WITH RECURSIVE shards AS (
+  SELECT list(s ORDER BY s.shard) AS s FROM (
+    SELECT struct_pack(shard := shard, start := {_NUMBER.format('shard', 1)} % {SLOTS}, skip := {_NUMBER.format('shard', 13)} % {SLOTS - 1} + 1) AS s
+    FROM (SELECT 'shard-' || lpad(CAST(i AS VARCHAR), 3, '0') AS shard FROM range({SHARDS}) t(i)))
+),
+fill(turn, owner, tried) AS (
+  SELECT 0, list_transform(range({SLOTS}), lambda x: -1), list_transform(range({SHARDS}), lambda x: 0)
+  UNION ALL
+  SELECT turn + 1,
+    list_concat(list_concat(owner[1:slot], [turn % {SHARDS}]), owner[slot + 2:]),
+    list_concat(list_concat(tried[1:turn % {SHARDS}], [j + 1]), tried[turn % {SHARDS} + 2:])
+  FROM (
+    SELECT *, CAST((sh.start + j * sh.skip) % {SLOTS} AS BIGINT) AS slot FROM (
+      SELECT turn, owner, tried, s[turn % {SHARDS} + 1] AS sh,
+        list_filter(range(tried[turn % {SHARDS} + 1], {SLOTS}), lambda x: owner[CAST((s[turn % {SHARDS} + 1].start + x * s[turn % {SHARDS} + 1].skip) % {SLOTS} AS BIGINT) + 1] = -1)[1] AS j
+      FROM fill, shards WHERE turn < {SLOTS}))
+),
+slots AS (SELECT unnest(range({SLOTS})) AS slot, unnest(owner) AS i FROM fill WHERE turn = {SLOTS})
+SELECT doc_id, CAST(d.slot AS INTEGER) AS slot, s[i + 1].shard AS shard
+FROM (SELECT doc_id, {_NUMBER.format("coalesce(CAST(doc_id AS VARCHAR), '')", 1)} % {SLOTS} AS slot FROM documents) d JOIN slots ON slots.slot = d.slot, shards
+"""
+
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS INTEGER), 100) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS s FROM d)),
+m AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) AS first FROM w) WHERE first < doc_id),
+b AS (SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM m),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM b) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM r),
+k AS (SELECT p.doc_id, sum(z - a) AS n, count(*) AS c, max(z) AS last, string_agg(substr(h, CAST(2 * e + 1 AS INTEGER), CAST(2 * (a - e) AS INTEGER)), '' ORDER BY a) AS head FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS INTEGER)))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, {_FOLDED.format('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED.format('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, n, array_to_string(w[k + 1:k + n], ' ') AS x FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(0, greatest(len(w) - 12, 1))) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM g),
+o AS (SELECT doc_id, k, n, array_to_string(w[k + 1:k + n], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, k, o.n, item FROM o JOIN g ON g.x = o.x AND g.n = o.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_FOLDED.format('[^\\x20\\x09-\\x0D]+')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 5], ' ') AS x FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP8 = """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1099511627776) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, md5(role || chr(31) || text), text) AS x FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, x FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.conv_id <> c.conv_id AND len(o.x) >= len(c.x) AND o.x[1:len(c.x)] = c.x AND (len(o.x) > len(c.x) OR o.conv_id < c.conv_id))),
+s AS (SELECT conv_id, x, unnest(range(0, (len(x) - 1) // 256 + 1)) AS segment FROM k)
+SELECT conv_id, segment, 256 * segment + 1 AS first_place, CAST(len(x[256 * segment + 1:256 * segment + 256]) AS BIGINT) AS n_turns, CAST(len(x) AS BIGINT) AS total_turns,
+  array_to_string(list_transform(x[256 * segment + 1:256 * segment + 256], lambda y: '<|im_start|>' || replace(y.role, '<|im_', '<| im_') || chr(10) || replace(y.text, '<|im_', '<| im_') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM s
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_permutation_sharding": OP1, "op4_suffix_dedup": OP4, "op5_suffix_automaton": OP5, "op6_superminhash": OP6, "op8_maximal_chats": OP8,
+}
