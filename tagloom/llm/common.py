@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is one step.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 800_000
 #: Bytes of text that one group of documents holds where groups are formed.
 GROUP_BYTES = 24_000_000
 

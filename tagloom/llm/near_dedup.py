@@ -29,7 +29,7 @@ BANDS = SLOTS // ROWS
 #: 384 +- 9.8 of them agree; fewer than ALIKE_SLOTS is over five deviations off.
 FINE_SLOTS, ALIKE_SLOTS = 512, 333
 #: A step of the longer signature keeps a kilobyte for each shingle.
-FINE_BYTES = 300_000
+FINE_BYTES = 100_000
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 1024
 _UNSET = np.uint64((1 << 64) - 1)

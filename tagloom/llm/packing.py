@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ from tagloom.llm.common import settle, shuffle_partitions
 CAPACITY = 1024
 END_ID = 2
 #: Nodes that the search visits before it keeps the best packing so far.
-NODES = 2000
-#: Fillings that one node enumerates.
-FILLINGS = 50
+NODES = 400
+#: Fillings that one node enumerates, and lengths that a partial filling is continued with.
+FILLINGS, BRANCHES = 12, 3
+#: Nodes from one best-fit incumbent to the next.
+INCUMBENT_EVERY = 8
 
 Plan = list[tuple[tuple[int, ...], int]]  # (lengths of one sequence in order, number of such sequences)
 
@@ -59,64 +62,83 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
 def fillings(counts: dict[int, int], largest: int, capacity: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Sets of lengths that fit beside `largest`, tightest first, without those that another dominates.
 
-    A filling is dominated if one of its lengths can be exchanged for a larger one that is there and fits.
+    A filling is dominated if one more length fits, or one of its lengths can be exchanged for the next larger one
+    that is there. At most 8 * most partial fillings are looked at, those of large lengths first.
     """
-    sizes = sorted((s for s in counts if s <= capacity - largest), reverse=True)
+    free = {s: n - (s == largest) for s, n in counts.items() if s <= capacity - largest and n > (s == largest)}
+    sizes = sorted(free, reverse=True)
+    falling = [-s for s in sizes]
     found: list[tuple[int, tuple[int, ...]]] = []
-
-    def grow(start: int, room: int, chosen: tuple[int, ...], budget: list[int]) -> None:
-        budget[0] -= 1
-        fit = False
-        for i in range(start, len(sizes)):
-            size = sizes[i]
-            if size <= room and chosen.count(size) < counts[size] - (size == largest):
-                fit = True
-                if budget[0] <= 0 and found:
-                    return
-                grow(i, room - size, (*chosen, size), budget)
-                if found and found[-1][0] == 0 and len(found) >= most:
-                    return
-        if not fit and not any(size <= room and chosen.count(size) < counts[size] - (size == largest) for size in sizes):
-            for size in set(chosen):
-                above = sizes.index(size) - 1
-                if above >= 0 and sizes[above] - size <= room and chosen.count(sizes[above]) < counts[sizes[above]] - (sizes[above] == largest):
-                    return
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, capacity - largest, ())]
+    budget = 8 * most
+    while stack and budget and not (len(found) >= most and min(found)[0] == 0):
+        budget -= 1
+        start, room, chosen = stack.pop()
+        ahead = []
+        i = max(start, bisect_left(falling, -room))
+        while i < len(sizes) and len(ahead) < BRANCHES:
+            if chosen.count(sizes[i]) < free[sizes[i]]:
+                ahead.append((i, room - sizes[i], (*chosen, sizes[i])))
+            i += 1
+        stack += reversed(ahead)
+        if ahead:
+            continue
+        larger = False  # a size that fits besides, or instead of a smaller one
+        for size in reversed(sizes):
+            if size > room:
+                break
+            larger = larger or chosen.count(size) < free[size]
+        for size in set(chosen):
+            above = bisect_left(falling, -size) - 1
+            larger = larger or above >= 0 and sizes[above] - size <= room and chosen.count(sizes[above]) < free[sizes[above]]
+        if not larger:
             found.append((room, chosen))
+    return [f for _, f in sorted(found)[:most]] or [_first_fit(free, sizes, capacity - largest)]
+
 
-    grow(0, capacity - largest, (), [4 * most])
-    return [f for _, f in sorted(found)[:most]] or [()]
+def _first_fit(free: dict[int, int], sizes: list[int], room: int) -> tuple[int, ...]:
+    chosen: list[int] = []
+    for size in sizes:
+        times = min(free[size], room // size)
+        chosen += [size] * times
+        room -= size * times
+    return tuple(chosen)
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """The packing with the fewest sequences found; the fewest possible if it meets the bound or the search ends."""
+    """The packing with the fewest sequences found; the fewest possible if it meets the bound or the search ends.
+
+    Depth first. A node is what is left, and how many sequences lead to it. It is pruned if even without further waste
+    it needs as many sequences as the incumbent; its own best-fit rest may become the incumbent.
+    """
     best = best_fit(counts, capacity)
     fewest, bound = sum(n for _, n in best), -(-sum(s * n for s, n in counts.items()) // capacity)
-    visits = nodes
-
-    def visit(left: dict[int, int], plan: Plan, used: int) -> None:
-        nonlocal best, fewest, visits
-        if visits <= 0 or fewest == bound:
-            return
-        visits -= 1
-        if not left:
-            if used < fewest:
-                best, fewest = plan, used
-            return
+    stack: list[tuple[dict[int, int], tuple | None, int]] = [(dict(counts), None, 0)]
+    visits = 0
+    while stack and fewest > bound and visits < nodes:
+        left, path, used = stack.pop()
         if used + -(-sum(s * n for s, n in left.items()) // capacity) >= fewest:
-            return
-        rest = best_fit(left, capacity)  # an incumbent below this node
-        if used + sum(n for _, n in rest) < fewest:
-            best, fewest = [*plan, *rest], used + sum(n for _, n in rest)
+            continue
+        if not left or visits % INCUMBENT_EVERY == 0:
+            rest = best_fit(left, capacity)
+            if used + sum(n for _, n in rest) < fewest:
+                steps, at = [], path
+                while at:
+                    steps.append(at[0])
+                    at = at[1]
+                best, fewest = [*reversed(steps), *rest], used + sum(n for _, n in rest)
+        visits += 1
+        if not left:
+            continue
         largest = max(left)
+        ahead = []
         for filling in fillings(left, largest, capacity):
             sequence = (largest, *filling)
-            times = min(left[s] // sequence.count(s) for s in set(sequence))
-            after = {s: n - times * sequence.count(s) for s, n in left.items()}
-            visit({s: n for s, n in after.items() if n}, [*plan, (sequence, times)], used + times)
-            if fewest == bound or visits <= 0:
-                return
-
-    visit(dict(counts), [], 0)
+            uses = Counter(sequence)
+            times = min(left[s] // n for s, n in uses.items())
+            after = {s: n - times * uses.get(s, 0) for s, n in left.items()}
+            ahead.append(({s: n for s, n in after.items() if n}, ((sequence, times), path), used + times))
+        stack += reversed(ahead)
     return best
 
 

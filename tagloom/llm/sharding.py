@@ -45,7 +45,7 @@ def lookup_table(shards: DataFrame, shard_col: str = "shard", slots: int = SLOTS
           named_struct('owner', array_repeat(-1, {slots}), 'tried', array_repeat(0, size(s))),
           (a, turn) -> get(transform(transform(
             transform(
-              array(turn % size(s)),
+              array(turn % greatest(size(s), 1)),
               i -> named_struct('i', i, 'start', get(s, i).start, 'skip', get(s, i).skip, 'tried', get(a.tried, i))),
             x -> named_struct('x', x, 'j', coalesce({first_free}, {any_free}))),
             y -> named_struct(
@@ -58,7 +58,7 @@ def lookup_table(shards: DataFrame, shard_col: str = "shard", slots: int = SLOTS
         """
     )
     filled = listed.select("s", claims.alias("owner"))
-    return filled.select("s", F.posexplode("owner").alias("slot", "i")).select("slot", F.expr("element_at(s, i + 1).shard").alias("shard"))
+    return filled.select("s", F.posexplode_outer("owner").alias("slot", "i")).where("slot IS NOT NULL").select("slot", F.expr("element_at(s, i + 1).shard").alias("shard"))
 
 
 def assign(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:

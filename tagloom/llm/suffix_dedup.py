@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import group_count, prefix_sums, span_hashes, steps
 
 SPAN, GRAM = 50, 26
+#: Bytes of text in a group, and in one vectorised step.
+GROUP_BYTES, STEP_BYTES = 10_000_000, 1_000_000
 BEFORE = SPAN - GRAM
 _SHIFT = np.uint64(16)
 RUN = "bucket int, g int, lcp binary, rest binary, left binary, span binary, ids binary, place binary, done binary"
@@ -90,7 +92,7 @@ class Group:
 
     def steps(self):
         """(first document, buffer, offsets) of consecutive parts."""
-        for low, high in steps(self.offsets):
+        for low, high in steps(self.offsets, STEP_BYTES):
             a, b = self.offsets[low], self.offsets[high]
             yield low, self.data[a:b], self.offsets[low : high + 1] - a
 
@@ -332,7 +334,11 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(out_g, pa.int32()), "done": pa.array(out_done, pa.binary())})
 
 
-def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _remove(texts: bool) -> Callable:
+    return lambda docs, answers: _removed(docs, answers, texts)
+
+
+def _removed(docs: pa.Table, answers: pa.Table, texts: bool) -> pa.Table:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     rows: list[tuple] = []
     if docs.num_rows:
@@ -343,7 +349,8 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
             at = group.offsets[doc] + place
             for r in range(BEFORE + 1):
                 starts[at[(found >> np.uint32(r)) & 1 == 1] - r] = True
-        total = np.concatenate([[0], np.cumsum(starts[:-1])])
+        total = np.zeros(len(starts), np.uint32)
+        np.cumsum(starts[:-1], out=total[1:])
         gone = total[1:] > total[np.maximum(np.arange(len(group.data)) - SPAN + 1, 0)]
         results: dict[int, tuple] = {}
         for row, text in zip(group.order, group.texts):
@@ -353,7 +360,8 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 kept = np.frombuffer(text, np.uint8)[~flags].tobytes()
                 spans = [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2])]
-                results[row] = (len(text), int(flags.sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), spans)
+                shown = (kept.decode("utf-8", "ignore"), spans) if texts else (None, None)
+                results[row] = (len(text), int(flags.sum()), len(spans), hashlib.sha256(kept).hexdigest(), *shown)
             rows.append(results[row])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), spans_type]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
@@ -361,15 +369,15 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"id": docs.column("id"), "carried": docs.column("carried"), **columns})
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), texts: bool = True) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans (bytes), carried.
 
-    `kept_text` is what remains, without characters that were cut apart. Null is the empty text. Rows of one id are
+    `kept_text` is what remains, without characters that were cut apart; it and `spans` are null without `texts`. Null is the empty text. Rows of one id are
     documents that do not count against each other; equal rows get equal results. A row without an id is neither
     smaller nor larger than any, so it stays whole. Texts below 50 bytes stay whole. Columns named in `carry` come
     along in the struct `carried`.
     """
-    groups = group_count(docs, text_col)
+    groups = group_count(docs, text_col, GROUP_BYTES)
     keyed = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried")
     )
@@ -382,7 +390,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, "long")
     schema = schema.add("kept_sha256", "string").add("kept_text", "string").add("spans", docs.sparkSession.sql("SELECT CAST(array() AS array<struct<start: bigint, end: bigint>>) AS s").schema["s"].dataType)
-    out = keyed.groupBy("g").cogroup(done.groupBy("g")).applyInArrow(_remove, schema)
+    out = keyed.groupBy("g").cogroup(done.groupBy("g")).applyInArrow(_remove(texts), schema)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -20,30 +20,34 @@ from tagloom.llm.common import held_out
 
 #: Labelled rows of either class that the model is fitted on, at most; texts above the length are not among them.
 SAMPLE, SAMPLE_CHARS = 1500, 40_000
-WINDOW = 8
-BASE_BYTES = 16_384
+WINDOW = 12
+BASE_BYTES = 8192
 FRAGMENTS, LEAST_G2, LEAST_DOCS = 64, 30.0, 5
-LEVEL = 3
+LEVEL = 6
 
 
 def windows(text: str | None) -> list[bytes]:
-    """Windows of eight lower-case words, with a blank at either end."""
+    """Windows of twelve lower-case words, with a blank at either end."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
 
 
-def _beginnings(text: str) -> set[bytes]:
-    found = set()
-    for word in set(text.lower().split()):
-        for n in range(5, 11):
-            if n <= len(word) + 2:
-                found.add(f" {word} "[:n].encode("utf-8", "surrogatepass"))
-    return found
+def _counts(texts: list[str]) -> Counter:
+    """Texts that each word beginning stands in. A word between the same neighbours as before does not count again,
+    so copies of a text are no further evidence."""
+    count: Counter = Counter()
+    seen: set[tuple[str, str, str]] = set()
+    for text in texts:
+        words = ["", *text.lower().split(), ""]
+        new = {x for x in zip(words, words[1:], words[2:]) if x not in seen}
+        seen |= new
+        count.update({f" {w} "[:n] for w in {w for _, w, _ in new} for n in range(5, 11) if n <= len(w) + 2})
+    return Counter({g.encode("utf-8", "surrogatepass"): n for g, n in count.items()})
 
 
 def fragments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Word beginnings far commoner in toxic texts, the strongest first; none begins with another."""
-    a, b = (Counter(g for t in texts for g in _beginnings(t)) for texts in (toxic, ordinary))
+    a, b = _counts(toxic), _counts(ordinary)
     n, m = len(toxic), len(ordinary)
 
     def g2(gram: bytes) -> float:
@@ -103,8 +107,9 @@ class Distance:
 class Logistic:
     """Ridge logistic regression by Newton steps; with one class or no rows it gives the class's share."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3):
-        x = x.reshape(len(y), -1)
+    def __init__(self, x: np.ndarray, y: np.ndarray, odds: float = 1.0, ridge: float = 1e-3):
+        """`odds`: how many times commoner label 0 is among all labelled rows than in y."""
+        rows = np.where(y == 1, 1.0, odds)
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-9) if len(y) else (0.0, 1.0)
         self.weight, self.share = None, float(y.mean()) if len(y) else 0.0
         if len(set(y.tolist())) < 2:
@@ -113,8 +118,8 @@ class Logistic:
         weight = np.zeros(z.shape[1])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ weight, -30, 30)))
-            hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(weight))
-            weight -= np.linalg.solve(hessian, z.T @ (p - y) + ridge * len(y) * weight)
+            hessian = (z * (rows * p * (1 - p))[:, None]).T @ z + ridge * len(y) * np.eye(len(weight))
+            weight -= np.linalg.solve(hessian, z.T @ (rows * (p - y)) + ridge * len(y) * weight)
         self.weight = weight
 
     def _rows(self, x: np.ndarray) -> np.ndarray:
@@ -133,7 +138,7 @@ def _score(contents: tuple[bytes, bytes], model: Logistic) -> Callable:
         if not made:
             made.append(Distance(contents))
         for batch in batches:
-            x = np.array([made[0].features(t) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, -1)
+            x = np.array([made[0].features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 6)
             yield batch.drop_columns(["text"]).append_column("score", pa.array(model(x) if len(x) else [], pa.float64()))
 
     return run
@@ -163,7 +168,10 @@ def toxicity_scores(
     of = lambda keep: rows["text"][keep].tolist()
     contents = dictionaries(of(~third & (y == 1)), of(~third & (y == 0)))
     distance = Distance(contents)
-    model = Logistic(np.array([distance.features(t) for t in of(third)]).reshape(third.sum(), -1), y[third])
+    n = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    taken = (third & (y == 0)).sum() / max(1, (third & (y == 1)).sum())
+    odds = n.get(0, 0) / max(1, n.get(1, 0)) / taken if taken else 1.0
+    model = Logistic(np.array([distance.features(t) for t in of(third)]).reshape(-1, 6), y[third], odds or 1.0)
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     out = source.mapInArrow(_score(contents, model), source.drop("text").schema.add("score", "double"))
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "carried")
