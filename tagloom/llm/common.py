@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +51,13 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def release() -> None:
+    """Gives memory that Arrow and the allocator keep back to the system; several workers share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its n texts (n + 1 values); null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -186,10 +186,11 @@ def contamination(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
         F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"),
     )
-    for block in blocks:
+    for block in blocks[:-1]:
         out = out.mapInArrow(_scan(block, window), out.schema)
+    last = _scan(blocks[-1], window)
     schema = out.drop("text").schema.add("n_words", "long").add("n_hit", "long").add("items_sha256", "string")
-    out = out.mapInArrow(_digest, schema)
+    out = out.mapInArrow(lambda batches: _digest(last(batches)), schema)
     return out.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "items_sha256", "spans",
         ((F.col("n_hit") > 0) & (cover * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "carried",

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import LOWER, SPACED, mix, part, prefix_sums, ranges, settle, span_hashes, steps, utf8, word_bounds
+from tagloom.llm.common import LOWER, SPACED, mix, part, prefix_sums, ranges, release, settle, span_hashes, steps, utf8, word_bounds
 
 WIDTH = 5
 SLOTS, ROWS = 128, 4
@@ -92,6 +92,7 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, n: int, slots: int = SLOTS)
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
+        release()
         data, offsets = utf8(batch.column(1))
         for low, high in steps(offsets):
             n = high - low
@@ -116,6 +117,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One byte of each slot of the longer signature."""
     for batch in batches:
+        release()
         data, offsets = utf8(batch.column(1))
         for low, high in steps(offsets, FINE_BYTES):
             best = mix(signatures(*shingles(*part(data, offsets, low, high)), high - low, FINE_SLOTS)).astype(np.uint8)
@@ -131,6 +133,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             texts = [utf8(batch.column(i)) for i in (2, 3)]
             for low, high in steps(texts[0][1] + texts[1][1]):
                 sides = [shingles(*part(*x, low, high)) for x in texts]

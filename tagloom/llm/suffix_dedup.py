@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import group_count, prefix_sums, span_hashes, steps
+from tagloom.llm.common import group_count, prefix_sums, release, span_hashes, steps
 
 SPAN, GRAM = 50, 26
 #: Bytes of text in a group, and in one vectorised step.
@@ -80,6 +80,7 @@ class Group:
     """The distinct (id, text) of a group in a fixed order, as one buffer; rows without an id take no part."""
 
     def __init__(self, table: pa.Table):
+        release()
         ids = table.column("id").to_pylist()
         texts = [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
         self.rows, self.texts = ids, texts
@@ -306,6 +307,7 @@ def _windows(common: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.n
 
 
 def _merge(table: pa.Table) -> pa.Table:
+    release()
     out_g, out_done = [], []
     runs, lefts, spans, ids, places, groups = [], [], [], [], [], []
     for row in table.to_pylist():
