@@ -17,10 +17,6 @@ from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 _ASCII = r"^[\x00-\x7F]*$"
-_JAMO_UNIT = (
-    r"(?s)[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?"
-    r"|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]|."
-)
 
 
 def key_of_text(text: str | None) -> str:

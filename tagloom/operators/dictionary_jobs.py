@@ -664,7 +664,8 @@ def register_unknown(unknown: DataFrame, decisions: DataFrame, lookup: DataFrame
         F.when((F.col("action") == "alias") & target, "no_target")
         .when((F.col("action") == "new") & name, "no_name")
         .when((F.col("action") == "new") & (F.col("category") == "ensemble") & _blank("entity_id"), "no_entity_id")
-        .when((F.col("action") == "new") & (F.col("category") == "person") & (F.size("roles") <= 0), "no_role")
+        .when((F.col("action") == "new") & (F.col("category") == "person") & (F.coalesce(F.size("roles"), F.lit(0)) <= 0), "no_role")
+        .when(~F.coalesce(F.col("action").isin("alias", "new"), F.lit(False)), "no_action")
     )
     return already_known(df.withColumn("problem", problem), "value", lookup)
 

@@ -99,14 +99,14 @@ def canonical_fields(raw: DataFrame) -> DataFrame:
 def scan(raw: DataFrame, extensions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """S1-S5 over rows (relative_path, full_path, raw_tags, error): good and failed rows.
 
-    Rows are not sorted here; a global sort belongs to an output (``in_path_order``)."""
-    wanted = raw.filter(is_target(F.col("relative_path"), extensions)).withColumn(
-        "format", format_of(F.col("relative_path"))
-    )
-    failed = wanted.filter("error is not null or raw_tags is null").select(
+    A row without a path (a malformed line) is a failed row. Rows are not sorted here; a global sort belongs to an output (``in_path_order``)."""
+    target = is_target(F.col("relative_path"), extensions) | F.col("relative_path").isNull()
+    wanted = raw.filter(target).withColumn("format", format_of(F.col("relative_path")))
+    unreadable = "error is not null or raw_tags is null or relative_path is null"
+    failed = wanted.filter(unreadable).select(
         "relative_path", F.coalesce("error", F.lit("unreadable row")).alias("message")
     )
-    good = canonical_fields(wanted.filter("error is null and raw_tags is not null"))
+    good = canonical_fields(wanted.filter(f"not ({unreadable})"))
     return good, failed
 
 
@@ -126,15 +126,16 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     )
     return rows.select(
         "relative_path", "full_path", "raw_tags",
-        F.coalesce("error", F.when(F.col("_corrupt").isNotNull(), "malformed row")).alias("error"),
+        F.coalesce("error", F.when(F.col("_corrupt").isNotNull(), F.concat(F.lit("malformed row: "), "_corrupt"))).alias("error"),
     )
 
 
 def list_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """S1 as a listing: paths below ``root`` without reading any content."""
-    base = root.rstrip("/") + "/"
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    after = F.substring_index(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), base, -1)
+    after = F.substr("path", F.lit(len(base) + 1))
     listed = files.select(after.alias("relative_path"), F.col("path").alias("full_path"))
     return listed.filter(is_target(F.col("relative_path"), extensions)).withColumn(
         "format", format_of(F.col("relative_path"))
