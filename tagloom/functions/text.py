@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from tagloom.schema import FIELDS, JOIN
@@ -186,7 +190,16 @@ def diacritic_suggestion(title: Column) -> Column:
 
 
 def java_replacement(replacement: str) -> str:
-    return replacement.replace("\\", "\\\\")
+    """A replacement in which ``$1``, ``${1}``, ``${name}``, ``$&`` and ``$$`` stand for
+    something and any other ``$`` or ``\\`` for itself, as Java writes it."""
+
+    def written(found: re.Match) -> str:
+        group = found["group"] or found["braced"]
+        if group:
+            return f"${group}" if group.isdigit() else f"${{{group}}}"
+        return "$0" if found[0] == "$&" else "\\$" if found[0][0] == "$" else "\\\\"
+
+    return re.sub(r"\$(?:(?P<group>\d+)|\{(?P<braced>\d+|[A-Za-z][A-Za-z0-9]*)\}|[$&])?|\\", written, replacement)
 
 
 def typo_hits(text: Column, typos: list[tuple[str, str]]) -> Column:
@@ -197,10 +210,13 @@ def typo_hits(text: Column, typos: list[tuple[str, str]]) -> Column:
 
 
 def typo_match(text: Column, typos: list[tuple[str, str]]) -> Column:
-    """Does any pattern match? One alternation instead of one test per pattern."""
+    """Does any pattern match? Patterns without groups are one alternation; one with
+    groups is a test of its own, as numbers and names of groups would mix."""
     if not typos:
         return F.lit(False)
-    return text.rlike("|".join(f"(?:{p})" for p, _ in typos))
+    grouped = [p for p, _ in typos if "(" in p or "\\Q" in p]
+    plain = "|".join(f"(?:{p})" for p, _ in typos if p not in grouped)
+    return reduce(or_, [text.rlike(p) for p in [*([plain] if plain else []), *grouped]])
 
 
 def fix_typos(text: Column, typos: list[tuple[str, str]]) -> Column:

@@ -86,3 +86,9 @@ def test_diacritics_and_typos(spark):
     assert evaluate(spark, X.diacritic_suggestion, ["Die Walkure"]) == ["Die Walküre"]
     typos = [(r"\bAllgro\b", "Allegro"), (r"(\d)x", "$1")]
     assert evaluate(spark, lambda v: X.fix_typos(v, typos), ["Finale: Allgro molto 3x", "Allgrox"]) == ["Finale: Allegro molto 3", "Allgrox"]
+
+
+def test_typo_patterns_with_groups(spark):
+    typos = [(r"(?<x>a)b", "${x}"), (r"(\w)\1", "$1"), (r"(?<x>c)d", "$x$$\\$&"), ("zz?", "${0}!")]
+    assert evaluate(spark, lambda v: X.typo_match(v, typos), ["moon", "mon", "abc", "cd", "z", None]) == [True, False, True, True, True, None]
+    assert evaluate(spark, lambda v: X.fix_typos(v, typos), ["abc", "moon", "cd", "z"]) == ["ac", "mon", "$x$\\cd", "z!"]
