@@ -214,13 +214,18 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Learns from the text and non-null language of at most `sample` rows, the first by a hash of their id, outside the
     held-out fold. Every whole text is labelled. Null texts and texts without a letter are `und` with score 0, and
     so is every text if there is nothing to learn from. Equal shares: the first language by name. Repeated rows get
-    the same label. Other columns are ignored.
+    the same label and count once in the sample. Other columns are ignored.
     """
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & ~held_out("id") & (F.length("text") <= SAMPLE_CHARS))
-    rows = known.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(sample).collect()
+    known = known.withColumn("order", F.xxhash64("id")).withColumn("print", F.xxhash64("text"))
+    key = ["order", "id", "lang", "print"]
+    # rows are chosen without their texts, as every task sends its first ones; only the texts of the chosen follow
+    chosen = F.broadcast(known.select(key).orderBy(key).limit(sample).distinct())
+    rows = known.join(chosen, key, "left_semi").groupBy(key).agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: tuple(r[c] for c in key))
     model = train([r["text"] for r in rows], [r["lang"] for r in rows])
     out = source.mapInArrow(_label(model), f"id {kind}, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")
