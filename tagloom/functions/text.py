@@ -44,16 +44,16 @@ MOVEMENT_STYLES = [
 ]
 NO_STYLE = "none"
 
-_SPACE = r"[\s\x{00A0}\x{3000}]"
+# (?U): white space and digits of all scripts, not only of ASCII.
 
 
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"[^\s\x{00A0}\x{3000}]")
+    return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
 def no_texts() -> Column:
@@ -119,16 +119,16 @@ def tokens(text: Column, separators: str) -> Column:
 
 
 def segments(folder: Column) -> Column:
-    return F.filter(F.transform(F.split(folder, "/"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(folder, "/"), strip), lambda s: s != "")
 
 
 def is_placeholder(title: Column) -> Column:
     """F5."""
-    text = F.trim(title)
+    text = strip(title)
     return (
-        text.rlike(r"(?i)^track\s*\d+$")
-        | text.rlike(r"^\d+([-_]\d+)?$")
-        | text.rlike(r"^\S+\s*-\s*\d+$")
+        text.rlike(r"(?iU)^track\s*\d+$")
+        | text.rlike(r"(?U)^\d+([-_]\d+)?$")
+        | text.rlike(r"(?U)^\S+\s*-\s*\d+$")
     )
 
 
@@ -142,7 +142,8 @@ def movement_style(title: Column) -> Column:
     """F8."""
     chain = None
     for pattern, label in MOVEMENT_STYLES:
-        chain = F.when(title.rlike(pattern), label) if chain is None else chain.when(title.rlike(pattern), label)
+        test = title.rlike("(?U)" + pattern)
+        chain = F.when(test, label) if chain is None else chain.when(test, label)
     return chain.otherwise(NO_STYLE)
 
 
@@ -262,13 +263,13 @@ def slug(text: Column) -> Column:
 
 def numbers_in(text: Column) -> Column:
     """F16: numbers of one to three digits, distinct, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)\d{1,3}(?!\d)"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(?<!\d)\d{1,3}(?!\d)"), F.lit(0)))
 
 
 def work_template(name: Column) -> Column:
     """the first number replaced by a slot; null without a number."""
-    first = r"(?s)^(.*?)(?<!\d)\d{1,3}(?!\d)(.*)$"
-    return F.when(name.rlike(r"(?<!\d)\d{1,3}(?!\d)"), F.regexp_replace(name, first, "$1{0}$2"))
+    first = r"(?sU)^(.*?)(?<!\d)\d{1,3}(?!\d)(.*)$"
+    return F.when(name.rlike(r"(?U)(?<!\d)\d{1,3}(?!\d)"), F.regexp_replace(name, first, "$1{0}$2"))
 
 
 def trim_name(text: Column) -> Column:
@@ -282,13 +283,13 @@ def loosen_number(text: Column) -> Column:
 
 def head_of(segment: Column) -> Column:
     """Text before the first dash, null when it is empty or the whole segment."""
-    head = F.trim(F.split_part(segment, F.lit("-"), F.lit(1)))
+    head = strip(F.split_part(segment, F.lit("-"), F.lit(1)))
     return F.when((head != "") & (head != segment), head)
 
 
 def alias_lines(text: Column) -> Column:
     """one alias per line."""
-    lines = F.transform(F.split(text, r"[\r\n]+"), lambda s: F.trim(s))
+    lines = F.transform(F.split(text, r"[\r\n]+"), strip)
     return F.array_distinct(F.filter(lines, lambda x: x != ""))
 
 

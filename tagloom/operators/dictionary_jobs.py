@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom.functions import text as X
 from tagloom.functions.keys import folder_lookup_key, let, name_key, name_keys
+from tagloom.operators.lineage import cut
 from tagloom.operators.lookup import dict_names, ensemble_label, is_valid_pattern
 from tagloom.sources.dictionary import Dictionary
 
@@ -20,7 +21,7 @@ NEAR = 3
 
 
 def _blank(column: str) -> Column:
-    return F.col(column).isNull() | (F.trim(column) == "")
+    return X.is_blank(F.col(column))
 
 
 def canonicals(dictionary: Dictionary) -> DataFrame:
@@ -607,32 +608,45 @@ def upsert_overrides(overrides: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def entity_ids(names: DataFrame, ensembles: DataFrame) -> DataFrame:
-    """F15 for new ensembles (ord, canonical): slugs, with the next free suffix.
-
-    Taken ids with the same stem give the start; new ones are numbered within
-    their stem."""
-    stems = names.withColumn("stem", X.slug(F.col("canonical")))
-    used = ensembles.select(F.lower("entity_id").alias("id")).distinct().select(
-        F.regexp_extract("id", r"^(.*?)(-(\d+))?$", 1).alias("base"),
-        "id",
-    )
-    taken = used.select(F.col("id").alias("stem"), F.lit(1).alias("n")).unionByName(
-        used.filter("id <> base").select(
-            F.col("base").alias("stem"), F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int").alias("n")
-        )
-    )
-    per_stem = taken.groupBy("stem").agg(F.collect_set("n").alias("taken"))
-    order = Window.partitionBy("stem").orderBy("ord")
-    ranked = stems.join(per_stem, "stem", "left").withColumn("nth", F.row_number().over(order))
-    used_n = F.coalesce("taken", F.array().cast("array<int>"))
-    free = F.filter(
-        F.sequence(F.lit(1), F.size(used_n) + F.col("nth")), lambda i: ~F.array_contains(used_n, i)
-    )
-    n = F.get(free, F.col("nth") - 1)
-    return ranked.select(
-        "ord", "canonical",
-        F.when(n == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", n.cast("string"))).alias("entity_id"),
-    )
+    """F15 for new ensembles (ord, canonical): slugs, with the next free suffix, as
+    if given one after another in the order of ``ord``.
+
+    A suffixed id of one stem can be the slug of another name ("Foo 2"), only below
+    one root. So each round gives ids up to the first name of a root that finds its
+    id taken by an earlier one; without such clashes there is one round."""
+    slug = X.slug(F.col("canonical"))
+    waiting = names.select("ord", "canonical", slug.alias("stem"), F.regexp_replace(slug, r"(-\d+)+$", "").alias("root"))
+    taken = ensembles.select(F.lower("entity_id").alias("id")).distinct()
+    given = []
+    while True:
+        proposed = cut(_free_ids(waiting, taken))
+        first = proposed.groupBy("entity_id").agg(F.min("ord").alias("_first"))
+        clash = proposed.join(first, "entity_id").filter("ord > _first").groupBy("root").agg(F.min("ord").alias("_from"))
+        judged = cut(proposed.join(clash, "root", "left"))
+        given.append(judged.filter("_from is null or ord < _from").select("ord", "canonical", "entity_id"))
+        waiting = judged.filter("ord >= _from").select("ord", "canonical", "stem", "root")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, given)
+        taken = cut(taken.union(given[-1].select("entity_id")))
+
+
+def _free_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """The n-th name of a stem gets the n-th suffix that no taken id has.
+
+    Before a taken suffix stand as many free ones as its value less its rank, so one
+    running count over names and taken suffixes finds the free one."""
+    suffixed = F.regexp_extract("id", r"^(.+)-([1-9]\d{0,8})$", 1)
+    n = F.regexp_extract("id", r"-(\d{1,9})$", 1).try_cast("int")
+    numbers = taken.select(F.col("id").alias("stem"), F.lit(1).alias("n")).unionByName(
+        taken.select(suffixed.alias("stem"), n.alias("n")).filter("stem <> '' and n > 1")
+    ).join(names.select("stem"), "stem", "left_semi")
+    by_n = Window.partitionBy("stem").orderBy("n")
+    gaps = numbers.select("stem", (F.col("n") - F.row_number().over(by_n)).alias("k"), F.lit(False).alias("is_name"))
+    ranked = names.withColumns({"k": F.row_number().over(Window.partitionBy("stem").orderBy("ord")) - 1, "is_name": F.lit(True)})
+    so_far = Window.partitionBy("stem").orderBy("k", "is_name").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranked.unionByName(gaps, allowMissingColumns=True).withColumn("n", F.col("k") + 1 + F.count_if(~F.col("is_name")).over(so_far))
+    entity_id = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string")))
+    return counted.filter("is_name").select("ord", "canonical", "stem", "root", entity_id.alias("entity_id"))
 
 
 # ---- import, trial, registration (W19, W20, W24, W25) ------------------------------------------------
@@ -686,15 +700,24 @@ def register_works(units: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def check_overrides(rows: DataFrame, holds: DataFrame) -> DataFrame:
     """Override proposals (folder, disc, composer, work_name, date, exclude, note)
-    against the hold of their unit; ``problem`` is null for acceptable rows."""
-    df = rows.join(holds.select("folder", F.col("disc").alias("unit_disc"), "unit_hold"), "folder", "left").filter(
-        F.col("disc").isNull() | (F.col("disc") == F.col("unit_disc"))
-    )
-    no_effect = ~F.coalesce("exclude", F.lit(False)) & _blank("composer") & _blank("work_name") & _blank("date")
+    against the holds (folder, disc, unit_hold); ``problem`` is null for acceptable rows.
+
+    One row per proposal. Without a disc it is for the whole folder, where excluding
+    is offered unless all its held units wait for a date only. An excluding row keeps
+    no other choice."""
+    of_date = F.bool_and(F.coalesce(F.col("unit_hold") == "DateUnknown", F.lit(False))).alias("_of_date")
+    units = holds.filter("disc is not null").groupBy("folder", "disc").agg(of_date)
+    folders = holds.groupBy("folder").agg(of_date).withColumn("disc", F.lit(None).cast(holds.schema["disc"].dataType))
+    held = units.unionByName(folders).withColumnsRenamed({"folder": "_folder", "disc": "_disc"})
+    df = rows.join(held, (F.col("folder") == F.col("_folder")) & F.col("disc").eqNullSafe(F.col("_disc")), "left")
+    excludes = F.coalesce("exclude", F.lit(False))
+    choices = ["composer", "work_name", "date"]
     problem = (
-        F.when(_blank("note"), "no_note")
-        .when(no_effect, "no_effect")
-        .when(F.coalesce("exclude", F.lit(False)) & (F.col("unit_hold") == "DateUnknown"), "exclude_not_offered")
-        .when(~_blank("date") & ~F.col("date").rlike(r"^\d{4}$"), "year_form")
-    )
-    return df.withColumn("problem", problem)
+        F.when(F.col("_of_date").isNull(), "not_held")
+        .when(_blank("note"), "no_note")
+        .when(~excludes & _blank("composer") & _blank("work_name") & _blank("date"), "no_effect")
+        .when(excludes & F.col("_of_date"), "exclude_not_offered")
+        .when(~excludes & ~_blank("date") & ~F.col("date").rlike(r"^\d{4}$"), "year_form")
+    )
+    kept = [F.when(~excludes, F.col(c)).alias(c) if c in choices else F.col(c) for c in rows.columns]
+    return df.select(*kept, problem.alias("problem"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tagloom.functions import text as X
 from tagloom.functions.keys import decode_mojibake, has_japanese_run, maybe_mojibake, name_key, name_keys
 from tagloom.operators import reports
+from tagloom.operators.lineage import cut
 from tagloom.operators.lookup import Index
 from tagloom.plans.audit import AuditContext, inspect
 from tagloom.sources.dictionary import Dictionary
@@ -151,15 +152,17 @@ def suggest_works(units: DataFrame, index: Index) -> DataFrame:
                          F.col("pos.c").alias("z"), F.lit("").alias("t"))
 
     # All numbers and words of a unit's hints. Both sets come from a folder name and
-    # its few album names.
-    facts = hint.groupBy(*unit, "composer").agg(
+    # its few album names. A unit without hints has none of either, but stays.
+    every = units.select(*unit, "composer", F.lit(None).cast(hint.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("hint"))
+    has_hint = F.col("hint").isNotNull()
+    facts = hint.unionByName(every).groupBy(*unit, "composer").agg(
         F.flatten(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", X.numbers_in(F.col("hint")).alias("ns")))), lambda x: x["ns"]
+                F.array_sort(F.collect_list(F.when(has_hint, F.struct("pos", X.numbers_in(F.col("hint")).alias("ns"))))), lambda x: x["ns"]
             )
         ).alias("n"),
         F.array_distinct(
-            F.flatten(F.collect_list(name_keys(X.tokens(F.col("hint"), X.WORD_SEPARATORS))))
+            F.flatten(F.collect_list(F.when(has_hint, name_keys(X.tokens(F.col("hint"), X.WORD_SEPARATORS)))))
         ).alias("words"),
     ).withColumn("numbers", F.array_distinct("n"))
     works = index.dictionary.works.filter("trim(canonical) <> ''")
@@ -208,29 +211,18 @@ def suggest_works(units: DataFrame, index: Index) -> DataFrame:
 # ---- works template (W17) ---------------------------------------------------------------------------
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint; the folder comes from the session."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (item, key) pairs: the smallest key reachable from
     each key. Each round spreads labels over items and then follows labels of
     labels, so long chains close in few rounds."""
-    edges = _cut(edges.select("item", "key").distinct())
-    labels = _cut(edges.select("key").distinct().withColumn("label", F.col("key")))
+    edges = cut(edges.select("item", "key").distinct())
+    labels = cut(edges.select("key").distinct().withColumn("label", F.col("key")))
     while True:
         per_item = edges.join(labels, "key").groupBy("item").agg(F.min("label").alias("label"))
         spread = edges.join(per_item, "item").groupBy("key").agg(F.min("label").alias("label"))
         jump = spread.select(F.col("key").alias("label"), F.col("label").alias("further"))
         new = spread.join(jump, "label", "left").select("key", F.least("label", F.coalesce("further", "label")).alias("label"))
-        new = _cut(new)
+        new = cut(new)
         changed = new.join(labels.withColumnRenamed("label", "old"), "key").filter("label <> old")
         if changed.isEmpty():
             return new

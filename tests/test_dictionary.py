@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import tempfile
 
 from conftest import row
@@ -142,6 +143,33 @@ def test_entity_ids(spark):
     assert got == {0: "i-musici-2", 1: "i-musici-4", 2: "new", 3: "i-musici-5"}
 
 
+def test_entity_ids_are_given_one_after_another(spark):
+    rng = random.Random(1)
+    for texts, old in ([["Foo", "Foo", "Foo 2"], []], [["Foo 2", "Foo", "Foo", "Foo 3", "Foo", "??", "!"], ["foo-4", "Ensemble"]],
+                       [[rng.choice(["Foo", "Foo 2", "Foo 2 2", "Foo 02", "Bar"]) for _ in range(14)], ["foo-2-2", "bar-3"]]):
+        used, want = {o.lower() for o in old}, {}
+        for i, text in enumerate(texts):
+            base = "-".join(re.findall(r"\w+", text.lower())) or "ensemble"
+            want[i] = next(c for n in range(1, 99) for c in [base if n == 1 else f"{base}-{n}"] if c not in used)
+            used.add(want[i])
+        names = spark.createDataFrame(list(enumerate(texts)), "ord long, canonical string")
+        taken = spark.createDataFrame([(o,) for o in old], "entity_id string")
+        assert {r.ord: r.entity_id for r in D.entity_ids(names, taken).collect()} == want
+
+
+def test_override_proposals(spark):
+    holds = spark.createDataFrame([("a", 1, "DateUnknown"), ("a", 2, "Other"), ("b", 1, "DateUnknown"), ("b", 2, "DateUnknown")], "folder string, disc int, unit_hold string")
+    rows = [
+        ("a", 1, None, None, None, True, "n"), ("a", 2, "C", None, "x", True, "n"), ("a", None, None, None, None, True, "n"), ("b", None, None, None, None, True, "n"),
+        ("b", 9, "C", None, None, False, "n"), ("b", 1, "C", None, None, False, "　"), ("b", 1, None, None, "75", False, "n"), ("b", 2, None, " ", None, None, "n"),
+    ]
+    df = spark.createDataFrame(rows, "folder string, disc int, composer string, work_name string, date string, exclude boolean, note string")
+    got = sorted((tuple(r) for r in D.check_overrides(df, holds).collect()), key=repr)
+    problems = ["exclude_not_offered", None, None, "exclude_not_offered", "not_held", "no_note", "year_form", "no_effect"]
+    want = [(*r[:2], *([None] * 3 if r[5] else r[2:5]), *r[5:], p) for r, p in zip(rows, problems)]
+    assert got == sorted(want, key=repr)
+
+
 def test_import_and_registration(spark):
     d = fixture_dictionary(spark)
     works = local_table(spark, TABLES["works"], [(0, "Johannes Brahm", "W", ["w", "v"], [])])
@@ -222,3 +250,7 @@ def test_suggest_works(spark):
     )
     got = [(r.value, r.source) for r in S.suggest_works(units, fixture_index(spark)).orderBy("place").collect()]
     assert got == [("Symphony No. 3", "hint"), ("Piano 3", "hint")]
+    bare = spark.createDataFrame([("", 1, "Johannes Brahms", [])], units.schema)
+    works = [r.canonical for r in fixture_index(spark).dictionary.works.filter("composer = 'Johannes Brahms'").collect()]
+    got = {(r.value, r.source) for r in S.suggest_works(bare, fixture_index(spark)).collect()}
+    assert works and got == {(w, "same composer") for w in sorted(works)[:8]}

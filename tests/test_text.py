@@ -42,6 +42,14 @@ def test_placeholder_and_title_from_file(spark):
     assert evaluate(spark, X.title_from_stem, stems) == ["Symphony No.15 in A Major", "Andante", None, None, "Presto"]
 
 
+def test_white_space_and_digits_of_all_scripts(spark):
+    titles = ["　Track01", "Track01\t", "１", "Track　1", "a - 1", "　"]
+    assert evaluate(spark, X.is_placeholder, titles) == [True, True, True, True, True, False]
+    assert evaluate(spark, X.strip, ["　 a b \t"]) == ["a b"] and evaluate(spark, X.is_blank, [" \n", None, "x"]) == [True, True, False]
+    assert evaluate(spark, X.segments, ["　a/\t/b"]) == [["a", "b"]] and evaluate(spark, X.head_of, ["a　- b"]) == ["a"]
+    assert evaluate(spark, X.numbers_in, ["No. ９ 1"]) == [["９", "1"]]
+
+
 def test_movement_styles(spark):
     titles = ["1. Allegro", "5-1. Allegro", "1 Allegro", "I. Allegro", "(I. Allegro)", "第1楽章 Allegro", "Allegro"]
     assert evaluate(spark, X.movement_style, titles) == ["1.", "5-1.", "1 Allegro", "I.", "(I.", "第N楽章", "none"]

@@ -58,6 +58,10 @@ def test_apply_restore_round_trip(spark, tracks):
     assert again.isEmpty()
     assert G.remove_findings(found, done.succeeded).filter("is_selected").isEmpty()
     saved = snapshots.read_snapshot(spark, done.snapshot)
+    only = A.restore_items(saved, done.written).filter("path_key = 'a/1.flac' and field = 'genre'")
+    some, _ = A.restore(saved, done.written, root + "/v4", selected=only, root=root, library_root="D:/Music")
+    assert {r.relative_path: (r.genre, r.date) for r in some.collect() if r.relative_path == "a/1.flac"} == {"a/1.flac": (["Opera"], ["1993"])}
+    assert [r.library_root for r in snapshots.list_snapshots(spark, root, True).filter("reason = 'BeforeRestore'").collect()] == ["D:/Music"]
     written, mismatches = A.restore(saved, done.written, root + "/v3")
     assert mismatches.isEmpty()
     assert sorted(written.drop("raw_tags").collect()) == sorted(before.drop("raw_tags").collect())
