@@ -23,10 +23,8 @@ from tagloom.sources.dictionary import describe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Mojibake has no SQL counterpart elsewhere, so the compared runs leave it out.
-COMPARED_RULES = [r.id for r in REGISTRY if r.id != "R-403"]
-PLAN_RULES = ["R-101", "R-102", "R-103", "R-104", "R-201", "R-202", "R-208", "R-301", "R-302"]
-SIMPLE_RULES = ["R-101", "R-102", "R-103", "R-104", "R-105", "R-302"]
+# Optional rules too: a named run is the whole registry.
+ALL_RULES = [r.id for r in REGISTRY]
 
 
 def flat(changes: DataFrame) -> DataFrame:
@@ -57,7 +55,7 @@ def pending(spark, sf) -> DataFrame:
 
 
 def proposals(spark, sf) -> DataFrame:
-    return audit(spark, sf, PLAN_RULES).unionByName(pending(spark, sf))
+    return audit(spark, sf, ALL_RULES).unionByName(pending(spark, sf))
 
 
 def q_unknown(spark, sf):
@@ -65,7 +63,7 @@ def q_unknown(spark, sf):
 
 
 def q_top(spark, sf):
-    return G.top_findings(audit(spark, sf, SIMPLE_RULES))
+    return G.top_findings(audit(spark, sf, ALL_RULES))
 
 
 def q_units(spark, sf):
@@ -93,7 +91,7 @@ def q_overlay(spark, sf):
 
 def q_verify(spark, sf):
     """Verification against rows that were not written: every planned field differs."""
-    plan = A.apply_plan(audit(spark, sf, PLAN_RULES))
+    plan = A.apply_plan(audit(spark, sf, ALL_RULES))
     return A.verify(plan, fixture_tracks(spark, sf)).select(
         "relative_path", "field", texts("expected").alias("expected"), texts("actual").alias("actual")
     )
@@ -108,7 +106,7 @@ def q_remaining(spark, sf):
 
 
 def q_selection(spark, sf):
-    changes = audit(spark, sf, PLAN_RULES)
+    changes = audit(spark, sf, ALL_RULES)
     scope = C.in_scope(F.lower(X.folder_of(F.col("relative_path"))), "Brahms")
     inverted = G.set_selection(changes, scope, None)
     return inverted.groupBy("rule_id").agg(F.count("*").alias("found"), F.count_if("is_selected").alias("selected"))
@@ -143,7 +141,7 @@ def q_edit_warnings(spark, sf):
 
 
 def q_change_export(spark, sf):
-    return E.change_rows(audit(spark, sf, SIMPLE_RULES))
+    return E.change_rows(audit(spark, sf, ALL_RULES))
 
 
 def q_track_export(spark, sf):
@@ -152,7 +150,7 @@ def q_track_export(spark, sf):
 
 
 def q_summary_export(spark, sf):
-    return E.summary_rows(audit(spark, sf, SIMPLE_RULES))
+    return E.summary_rows(audit(spark, sf, ALL_RULES))
 
 
 def q_filters(spark, sf):
@@ -276,7 +274,7 @@ def q_known_units(spark, sf):
 
 
 OTHER: dict[str, Query] = {
-    "rule_summary": lambda s, d: G.rule_summary(audit(s, d, COMPARED_RULES)),
+    "rule_summary": lambda s, d: G.rule_summary(audit(s, d, ALL_RULES)),
     "unknown_values": q_unknown,
     "top_findings": q_top,
     "selection": q_selection,
@@ -323,6 +321,7 @@ OTHER: dict[str, Query] = {
 }
 
 QUERIES: dict[str, Query] = {rule_name(r.id): rule_query(r.id) for r in REGISTRY} | OTHER
-ORACLES: dict[str, str] = {rule_name(r): O.with_prelude(sql) for r, sql in O.RULE_SQL.items()} | O.other_sql(
-    COMPARED_RULES, PLAN_RULES, SIMPLE_RULES
-)
+_SQL = {rule_name(r): O.with_prelude(sql) for r, sql in O.RULE_SQL.items()} | O.other_sql(ALL_RULES)
+ORACLES: dict[str, str] = {name: sql for name, sql in _SQL.items() if name not in O.PART_ONLY}
+#: SQL of part of a query's rows.
+PARTS: dict[str, str] = {name: _SQL[name] for name in O.PART_ONLY}
