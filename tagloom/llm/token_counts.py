@@ -1,104 +1,120 @@
 """Token counts of sentencepiece BPE by a table of exact counts at every prefix.
 
 In the model's vocabulary no piece continues after a blank or holds a line break, so a text falls into segments
-(blanks and the word behind them; a line break is one token) that are encoded independently. The table is a
-dynamic programme over segments: tokens(prefix) = tokens(up to the segment) + tokens(part of the segment). It
-answers "how many tokens has this prefix" and "which prefix fits a budget" without encoding the text again.
+(blanks and the word behind them; a line break is one token) that are encoded independently. Within a segment one
+pass finds the last piece of every prefix: a sequence of pieces is what the model gives if and only if it gives every
+two neighbours for their joined text, so the last piece of a prefix is the one that fits behind the last piece of what
+is left of it. The counts of all prefixes of a text follow as running sums; its token count and its cut are read there.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 4096
-#: Segments that a task remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Segments, and pairs of pieces, that a task remembers; beyond it starts anew. Longer segments are not remembered.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 _BLANK = "▁"
-_SEGMENT = re.compile(" *[^ ]+| +")
+_SEGMENT = re.compile("\n| *[^ \n]+| +")
 
 
 class _Memory(dict):
-    """Counts by segment; a missing one is encoded once."""
+    """Values by key; a missing one is made once."""
 
-    def __init__(self, count: Callable[[str], int]):
-        self.count = count
+    def __init__(self, make: Callable):
+        self.make = make
 
-    def __missing__(self, segment: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[segment] = self.count(segment)
+    def __missing__(self, key):
+        found = self.make(key)
+        if len(key) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = found
         return found
 
 
 class PrefixCounter:
     """Exact token counts of texts and of all their prefixes (in characters).
 
-    The model puts one blank before a text that is not empty; positions below count that blank as place 0.
+    The model puts one blank before a text that is not empty.
     """
 
     def __init__(self, model_path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         if any(_BLANK in p.lstrip(_BLANK) or "\n" in p for p in pieces):
             raise ValueError("a piece crosses a blank or line break, so segments are not independent")
-        encode = self.model.encode
+        encode = model.encode
         if encode("a  b") != encode("a") + encode(" b") or encode("a\nb")[:-1] != encode("a\n") or len(encode("\n")) != 2:
             raise ValueError("the model changes blanks, so segments are not independent")
-        self.after = _Memory(lambda w: len(encode(w)))  # a word behind one blank
-        self.bare = _Memory(lambda w: len(encode("\n" + w)) - 2)  # a word at the start of a line
-        self.any = _Memory(self._encode)
+        if len(encode("\n\x00\U0010ffff")) != 7:
+            raise ValueError("the model does not give unknown characters as bytes")
+        # pieces that the model gives for their own text, blanks as such
+        self.pieces = {
+            p.replace(_BLANK, " ") for i, p in enumerate(pieces)
+            if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and encode("\n" + p)[2:] == [i]
+        }
+        self.heads = {p[:n] for p in self.pieces for n in range(len(p) + 1)}
+        self.ids = {p.replace(_BLANK, " "): i for i, p in enumerate(pieces)}
+        self.fits = _Memory(lambda pair: encode("\n" + pair[0] + pair[1])[2:] == [self.ids[pair[0]], self.ids[pair[1]]])
+        self.steps = _Memory(self._step)
+        self.segments = _Memory(self._prefixes)
+
+    def _step(self, read: str) -> tuple[str, tuple[tuple[str, int], ...]]:
+        """The longest end of what was read that begins a piece, and the pieces that end here, the longest first."""
+        ends = [read[i:] for i in range(len(read) + 1)]
+        return next(e for e in ends if e in self.heads), tuple((e, len(e)) for e in ends if e in self.pieces)
+
+    def _prefixes(self, segment: str) -> bytes:
+        """Tokens of every prefix of a segment, as 32-bit numbers."""
+        if segment == "\n":
+            return array("i", [1]).tobytes()
+        steps, fits, state = self.steps, self.fits, ""
+        last, counts = [""], array("i", [0])
+        for end, char in enumerate(segment, 1):
+            state, found = steps[state + char]
+            for piece, size in found:
+                before = last[end - size]
+                if not before or fits[before, piece]:
+                    last.append(piece)
+                    counts.append(counts[end - size] + 1)
+                    break
+            else:  # a character that the model does not know: its bytes, and nothing joins it
+                if found:
+                    raise ValueError(f"no piece ends the prefix {segment[:end]!r}")
+                last.append("")
+                counts.append(counts[-1] + len(char.encode("utf-8", "surrogatepass")))
+        return counts[1:].tobytes()
+
+    def table(self, text: str) -> np.ndarray:
+        """Tokens of text[:0], text[:1], ..., text."""
+        segments = _SEGMENT.findall(f" {text}".replace(_BLANK, " "))
+        counts = np.frombuffer(b"".join(map(self.segments.__getitem__, segments)), np.int32)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        own = counts[np.cumsum(sizes) - 1].astype(np.int64)
+        out = counts + np.repeat(np.cumsum(own) - own, sizes)
+        out[0] = 0
+        return out
 
-    def _encode(self, segment: str) -> int:
-        if segment == "\n" or segment == " ":
-            return 1
-        return self.after[segment[1:]] if segment[0] == " " else self.bare[segment]
+    def count(self, text: str) -> int:
+        return int(self.table(text)[-1])
 
-    def _line(self, line: str) -> int:
-        first, *rest = line.split(" ")
-        if "" in rest:
-            return sum(map(self.any.__getitem__, _SEGMENT.findall(line)))
-        return (self.bare[first] if first else 0) + sum(map(self.after.__getitem__, rest))
+    def within(self, text: str, table: np.ndarray, at: int) -> int:
+        """Tokens of text[:at]."""
+        return int(table[min(max(at, 0), len(text))])
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        lines = f" {text}".replace(_BLANK, " ").split("\n")
-        return len(lines) - 1 + sum(map(self._line, lines))
-
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the segments in ' ' + text and the token counts of the prefixes that end there."""
-        segments: list[str] = []
-        for i, line in enumerate(f" {text}".replace(_BLANK, " ").split("\n") if text else []):
-            segments += (["\n"] if i else []) + _SEGMENT.findall(line)
-        return list(accumulate(map(len, segments))), list(accumulate(map(self.any.__getitem__, segments)))
-
-    def within(self, text: str, table: tuple[list[int], list[int]], at: int) -> int:
-        """Tokens of text[:at]; only a part of one segment is looked up."""
-        if at <= 0:
-            return 0
-        ends, counts = table
-        full, at = f" {text}".replace(_BLANK, " "), at + 1
-        i = bisect_right(ends, at)
-        start, base = (ends[i - 1], counts[i - 1]) if i else (0, 0)
-        return base + (self._encode(full[start:at]) if at > start else 0)
-
-    def cut(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
+    def cut(self, text: str, table: np.ndarray, budget: int) -> int:
         """Characters of the longest prefix of at most `budget` tokens."""
-        ends, counts = table
-        i = bisect_right(counts, budget)
-        if i == len(ends):
-            return len(text)
-        start = ends[i - 1] - 1 if i else 0
-        return max([start, *(at for at in range(start + 1, ends[i] - 1) if self.within(text, table, at) <= budget)])
+        return len(text) - int((table[::-1] <= budget).argmax()) if budget >= 0 else 0
 
 
 def _count(model_path: str, limit: int, store: bool) -> Callable:
@@ -112,11 +128,10 @@ def _count(model_path: str, limit: int, store: bool) -> Callable:
             tokens, cuts, tables = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                n = counter.count(text)
-                table = counter.table(text) if store or n > limit else None
-                tokens.append(n)
-                cuts.append(len(text) if n <= limit else counter.cut(text, table, limit))
-                tables.append([{"end": e, "tokens": c} for e, c in zip(*table)] if store else None)
+                table = counter.table(text)
+                tokens.append(int(table[-1]))
+                cuts.append(counter.cut(text, table, limit))
+                tables.append([{"end": e, "tokens": c} for e, c in enumerate(table.tolist())][1:] if store else None)
             kind = pa.list_(pa.struct([("end", pa.int64()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tokens, pa.int64()), pa.array(cuts, pa.int64()), pa.array(tables, kind), batch.column(2)],
@@ -129,9 +144,9 @@ def _count(model_path: str, limit: int, store: bool) -> Callable:
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, store: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit, cut_chars, prefixes.
 
-    `cut_chars` is the length of the longest prefix with at most `limit` tokens. `prefixes` (with `store`, else
-    null) has the token count at the end of every segment; `PrefixCounter` answers for the prefixes between. Null
-    is the empty text; repeated rows and null ids stay as they are. Other columns are ignored.
+    `cut_chars` is the length of the longest prefix with at most `limit` tokens. Both come from the table of the
+    counts at every prefix, which is made for every text; `prefixes` has it with `store`, else null. Null is the
+    empty text; repeated rows and null ids stay as they are. Other columns are ignored.
     """
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))

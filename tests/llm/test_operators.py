@@ -217,6 +217,24 @@ def test_token_counts_at_all_prefixes(docs):
             assert counter.cut(text, table, budget) == max(i for i, n in enumerate(counts) if n <= budget)
 
 
+def test_token_counts_of_a_long_segment(spark):
+    """Every prefix from one pass: no part longer than two pieces is encoded or kept as a key."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABC0123456789+/日本\U0001f600", k=3000))
+    counter, encoded = token_counts.PrefixCounter(PIECES), []
+    make = counter.fits.make
+    counter.fits.make = lambda pair: encoded.append(len("".join(pair))) or make(pair)
+    table = counter.table(text)
+    assert len(table) == len(text) + 1 and max(encoded) <= 32
+    assert all(len(k) <= token_counts.REMEMBERED_CHARS for k in counter.segments)
+    assert all(table[i] == len(model.encode(text[:i])) for i in [*range(60), *range(60, 3000, 97), 3000])
+    found = token_counts.token_counts(spark.createDataFrame([(1, text)], "doc_id int, text string"), PIECES, limit=500, store=True).head()
+    assert found.n_tokens == table[-1] and found.cut_chars == max(i for i, n in enumerate(table) if n <= 500)
+    assert [(p.end, p.tokens) for p in found.prefixes] == [(i, n) for i, n in enumerate(table.tolist())][1:]
+
+
 def test_quality_statistics_and_forest(spark, docs):
     found = {r.doc_id: r for r in quality.quality_verdicts(docs, spark.createDataFrame([], "doc_id bigint, quality int")).collect()}
     for d, t, *_ in rows():
