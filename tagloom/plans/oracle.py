@@ -632,7 +632,7 @@ def dictionary_sql() -> dict[str, str]:
     suggest = f"""
       , ent AS (SELECT canonical, min_by(aliases, ord) AS aliases FROM comp GROUP BY 1),
       nm AS (SELECT canonical, name, pos, {K("name")} AS key FROM (SELECT canonical, unnest(list_concat([canonical], aliases)) AS name, unnest([0, 1, 2, 3]) AS pos FROM ent)),
-      q AS (SELECT DISTINCT substr(a, 1, 7) AS query FROM (SELECT unnest(aliases) AS a FROM ucomp)),
+      q AS (SELECT DISTINCT unnest([a, substr(a, 1, 7), substr(a, 4, 6)]) AS query FROM (SELECT unnest(aliases) AS a FROM ucomp)),
       hit AS (SELECT query, canonical, name, pos, CASE WHEN starts_with(key, {K("query")}) THEN 0 ELSE 2 END + CASE WHEN name = canonical THEN 0 ELSE 1 END AS rank FROM q JOIN nm ON contains(key, {K("query")})),
       best AS (SELECT query, canonical, min(rank) AS rank, min_by(name, rank * 10 + pos) AS name FROM hit GROUP BY 1, 2)
       SELECT * FROM (SELECT query, canonical, rank, CASE WHEN name <> canonical THEN name END AS matched_alias, row_number() OVER (PARTITION BY query ORDER BY rank, canonical) AS place FROM best) WHERE place <= 20"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -224,10 +225,9 @@ def q_known(spark, sf):
 
 
 def q_suggest_names(spark, sf):
-    """Suggestions for every distinct four-letter start of an alias."""
-    asked = derived_dictionary(spark, sf, bundled=False).composers.select(
-        F.explode(F.transform("aliases", lambda a: F.substring(a, 1, 7))).alias("query")
-    )
+    """Suggestions for every distinct alias, its first seven characters and six from inside it."""
+    alias = derived_dictionary(spark, sf, bundled=False).composers.select(F.explode("aliases").alias("a"))
+    asked = alias.select(F.explode(F.array("a", F.substring("a", 1, 7), F.substring("a", 4, 6))).alias("query"))
     return S.suggest_names(asked, derived_dictionary(spark, sf), "composer")
 
 
@@ -245,7 +245,12 @@ def q_hints(spark, sf):
 def q_template(spark, sf):
     use_test_checkpoints(spark)
     made = S.works_template(report_units(spark, sf).persist(), fixture_index(spark))
-    return made["works"].select("composer", texts("aliases").alias("aliases"), texts("aliases_ja").alias("aliases_ja"))
+    tagged = {
+        "works": made["works"].select("composer", texts("aliases").alias("aliases"), texts("aliases_ja").alias("aliases_ja"), "first_alias"),
+        "members": made["members"].withColumn("label", F.to_json("label")),
+    }
+    parts = [df.select(F.lit(name).alias("table"), "*") for name, df in (made | tagged).items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def use_test_checkpoints(spark: SparkSession) -> None:
