@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.chat import format_chats
+from tagloom.llm.chat_repair import key_of, repair_digests
 from tagloom.llm.decontaminate import contamination
+from tagloom.llm.hard_negatives import hard_negatives
 from tagloom.llm.language_crf import languages
 from tagloom.llm.near_dedup import near_duplicates
 from tagloom.llm.packing import pack
@@ -85,11 +87,35 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with planted faults: rows dropped, emptied, without end marks, repeated, or of role user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    rows = rows.withColumn("text", F.expr("CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END"))
+    rows = rows.withColumn("role", F.expr("IF(fault = 4, 'user', role)"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.expr("sequence(1, IF(fault = 3, 2, 1))")).alias("copy")).drop("copy")
+
+
+def op12_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair_digests(damaged(turns))
+    out = turns.select("conv_id").distinct().withColumn("key", key_of("conv_id")).join(found, "key", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_permutation_sharding, op2_crf_language, op3_isolation_forest, op4_suffix_dedup, op5_suffix_automaton, op6_superminhash,
-        op7_compression_distance, op8_maximal_chats, op9_prefix_token_counts, op10_bin_completion,
+        op7_compression_distance, op8_maximal_chats, op9_prefix_token_counts, op10_bin_completion, op11_kronecker_negatives,
+        op12_checkpointed_repair,
     )
 }
 
@@ -168,6 +194,60 @@ SELECT conv_id, segment, 256 * segment + 1 AS first_place, CAST(len(x[256 * segm
 FROM s
 """
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3
+"""
+
+_KEY12 = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_CRC = "list_reduce(list_concat([4294967295], list_transform(range(len({0})), lambda i: CAST(ascii({0}[i + 1]) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))"
+
+
+def _sql12() -> str:
+    far = "{'c': 1000000000, 'a': '', 'o': ''}"
+    insert = lambda s, role: f"{{'c': {s}.c + 3, 'a': {s}.a || 'I', 'o': {s}.o || '{role}:' || chr(10)}}"
+    keep = lambda s: f"{{'c': {s}.c + extra, 'a': {s}.a || 'K', 'o': {s}.o || role || ':' || text || chr(10)}}"
+    turn = lambda s, role: f"{{'c': {s}.c + extra + 3, 'a': {s}.a || 'R', 'o': {s}.o || '{role}:' || text || chr(10)}}"
+    gone = lambda s: f"{{'c': {s}.c + 4, 'a': {s}.a || 'D', 'o': {s}.o}}"
+    on = lambda test, x: f"CASE WHEN stays AND {test} THEN {x} ELSE {far} END"
+    user = f"list_min([U, {insert('Z', 'user')}, {insert('S', 'user')}, {insert('A', 'user')}])"
+    return f"""
+WITH RECURSIVE n AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_CRC.format('k')}, 4294967295) % 20 AS f
+  FROM (SELECT *, {_KEY12} AS k FROM conversations)),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM n)),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy,
+  NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut FROM i),
+r AS (SELECT *, NOT blank AND copy = 1 AS stays, CASE WHEN cut THEN 3 ELSE 0 END AS extra, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+walk(conv_id, i, Z, S, U, A) AS (
+  SELECT DISTINCT conv_id, CAST(1 AS BIGINT), {{'c': 0, 'a': '', 'o': ''}}, {far}, {far}, {far} FROM r
+  UNION ALL
+  SELECT conv_id, i + 1, {gone('Z')}, list_min([{gone('S')}, {on("c = 's'", keep('Z'))}]),
+    list_min([{gone('U')}, {', '.join(on("c = 'u'", keep(s)) for s in 'ZSA')}, {', '.join(on('true', turn(s, 'user')) for s in 'ZSA')}]),
+    list_min([{gone('A')}, {on("c = 'a'", keep('U'))}, {on('true', turn('U', 'assistant'))}])
+  FROM (SELECT walk.conv_id, walk.i, Z, S, {user} AS U, list_min([A, {insert(user, 'assistant')}]) AS A, role, text, stays, extra, c
+    FROM walk JOIN r ON r.conv_id IS NOT DISTINCT FROM walk.conv_id AND r.i = walk.i)),
+e AS (SELECT conv_id, list_min([Z, A, {insert(user, 'assistant')}]) AS x FROM walk QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND copy > 1) AS duplicate,
+  count(*) FILTER (NOT blank AND copy = 1 AND cut) AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(x.o[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_kronecker_negatives": OP11, "op12_checkpointed_repair": _sql12(),
     "op1_permutation_sharding": OP1, "op4_suffix_dedup": OP4, "op5_suffix_automaton": OP5, "op6_superminhash": OP6, "op8_maximal_chats": OP8,
 }
