@@ -20,6 +20,7 @@ from tagloom.llm.sharding import SLOTS, assign, lookup_table
 from tagloom.llm.suffix_dedup import repeated_spans
 from tagloom.llm.token_counts import token_counts
 from tagloom.llm.toxicity import toxicity_scores
+from tagloom.llm.warc import ALPHABET, archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 32
@@ -110,12 +111,16 @@ def op12_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_permutation_sharding, op2_crf_language, op3_isolation_forest, op4_suffix_dedup, op5_suffix_automaton, op6_superminhash,
         op7_compression_distance, op8_maximal_chats, op9_prefix_token_counts, op10_bin_completion, op11_kronecker_negatives,
-        op12_checkpointed_repair,
+        op12_checkpointed_repair, op13_capture_index,
     )
 }
 
@@ -247,7 +252,18 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN t ON t.conv_id IS
 """
 
 
+OP13 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+h AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(sha1(html), CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS x FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{ALPHABET}', CAST((x[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM h
+"""
+
+
 ORACLES: dict[str, str] = {
-    "op11_kronecker_negatives": OP11, "op12_checkpointed_repair": _sql12(),
+    "op11_kronecker_negatives": OP11, "op12_checkpointed_repair": _sql12(), "op13_capture_index": OP13,
     "op1_permutation_sharding": OP1, "op4_suffix_dedup": OP4, "op5_suffix_automaton": OP5, "op6_superminhash": OP6, "op8_maximal_chats": OP8,
 }
