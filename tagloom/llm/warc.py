@@ -22,7 +22,7 @@ from urllib.parse import unquote, unquote_plus, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import settle, shared_dir
@@ -68,15 +68,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of equal payloads of at least `least` bytes, pages of the largest id are responses, the others revisit it. Pages
     are written where they are read; only ids and hashes are shuffled, unless the equal payloads are many.
     """
-    seen = Observation()
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
     size = F.octet_length("html")
-    prints = rows.select("id", F.sha2("html", 256).alias("print"), size.cast("bigint").alias("size")).observe(seen, F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    prints = settle(rows.select("id", F.sha2("html", 256).alias("print"), size.cast("bigint").alias("size")), "prints")
     groups = prints.where(F.col("size") >= least).groupBy("print").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = settle(groups, "payloads")  # known in size: Catalyst broadcasts it or not
-    n = seen.get["n"]
-    most = max(1, ARCHIVE_BYTES * n // max(1, (seen.get["bytes"] or 0) + 700 * n))
+    total = prints.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    n = total["n"]
+    most = max(1, ARCHIVE_BYTES * n // max(1, (total["bytes"] or 0) + 700 * n))
     rows = rows.withColumn("print", F.sha2("html", 256)).join(groups, "print", "left").withColumn("sha1", base32_sha1(F.col("html")))
     named = lambda c: F.url_encode(F.coalesce(F.col(c).cast("string"), F.lit("")))
     record = lambda c: F.concat(F.lit("<urn:page:"), named(c), F.when(F.col(c).isNull(), "!").otherwise(""), F.lit(":"), F.col("sha1"), F.lit(">"))
