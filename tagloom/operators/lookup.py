@@ -1,9 +1,11 @@
-"""Name lookups (J1-J7, J13): one row per key, and searches inside texts.
-
-A search inside a text asks for the first token whose key is in a set. When the
-sets are small (checked once, when the index is made) they become literal sets,
-so the search is a narrow expression and the tracks are not shuffled. Beyond the
-limit the same search runs as explode, join, and a partial ``min`` per row.
+"""Name lookups (J1-J7, J13): one row per key, and facts about the texts of a catalogue.
+
+Names repeat, so nothing is searched row by row. The distinct texts of the wanted
+fields are taken first, each is folded and cut into its parts once, the parts meet
+the lookup in one equi-join, and what they hit is folded back to one row of facts
+per text. Rows then get the facts by an equi-join on the text itself. Only texts
+that hit anything have a row, so the table is small where names are few. Texts that
+hardly repeat (titles, file names) meet the lookup before they are shuffled.
 """
 
 from __future__ import annotations
@@ -14,22 +16,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import text as X
-from tagloom.functions.keys import folder_lookup_key, let, name_key, token_keys
+from tagloom.functions.keys import folder_lookup_key, name_key, ngram_keys, token_keys
+from tagloom.operators.lineage import settle
 from tagloom.sources.dictionary import Dictionary
 
-LITERAL_LIMIT = 4_000
+# Keys up to which every task gets the whole lookup; beyond, Catalyst joins by size.
+BROADCAST_KEYS = 200_000
 
-KINDS = {
-    "composer": "composer is not null",
-    "surname": "surname and composer is not null",
-    "composer_only": "composer is not null and person is null and ens_id is null",
-    "conductor": "conductor",
-    "performer": "person is not null or ens_id is not null",
-    "ensemble": "ens_id is not null",
-    "ensemble_plain": "ens_id is not null and not ens_has_eras and ens_canonical is not null",
-    "known": "composer is not null or person is not null or ens_id is not null",
-    "protected": "protected",
-}
+NAME_COLUMNS = [
+    "composer", "person", "conductor", "ens_id", "ens_canonical", "ens_split", "ens_no_conductor", "ens_eras",
+]
+# Parts of a text that can be asked for: the whole value, its tokens by the dictionary's or
+# the finder's separators, and its runs of up to three tokens.
+WHOLE, DICTIONARY_TOKEN, FINDER_TOKEN, GRAM = "w", "d", "f", "g"
 
 
 def dict_names(dictionary: Dictionary) -> DataFrame:
@@ -133,30 +132,111 @@ def build_lookup(dictionary: Dictionary) -> DataFrame:
     )
 
 
+def probes(values: Column, field: Column, parts: dict[str, str]) -> Column:
+    """(i, j, part, key) of the parts of the values; ``parts`` has the wanted ones of each field."""
+    made = {
+        WHOLE: lambda v: F.array(name_key(v)),
+        DICTIONARY_TOKEN: lambda v: token_keys(v, X.DICTIONARY_SEPARATORS),
+        FINDER_TOKEN: lambda v: token_keys(v, X.FINDER_SEPARATORS),
+        GRAM: lambda v: ngram_keys(v, X.FINDER_SEPARATORS),
+    }
+
+    def of_part(part: str) -> Column:
+        first = 0 if part == WHOLE else 1
+
+        def of_value(v: Column, i: Column) -> Column:
+            return F.transform(
+                made[part](v), lambda k, j: F.struct(i.alias("i"), (j + first).alias("j"), F.lit(part).alias("part"), k.alias("key"))
+            )
+
+        return F.flatten(F.transform(values, of_value))
+
+    out, nothing = [], F.array().cast("array<struct<i:int,j:int,part:string,key:string>>")
+    for part in made:
+        fields = [f for f, wanted in parts.items() if part in wanted]
+        if fields:
+            out.append(F.when(field.isin(fields), of_part(part)).otherwise(nothing))
+    return F.concat(*out)
+
+
+def _is(part: str, h: Column) -> Column:
+    return h["part"] == part
+
+
+def _performer(h: Column) -> Column:
+    return h["person"].isNotNull() | h["ens_id"].isNotNull()
+
+
+def facts_of(hits: Column, values: Column) -> dict[str, Column]:
+    """What the hits (in the order of the text) say of the values they come from."""
+
+    def blocked(h: Column) -> Column:
+        """Is the value that the hit lies in a performer as a whole?"""
+        return F.exists(hits, lambda b: _is(WHOLE, b) & (b["i"] == h["i"]) & _performer(b))
+
+    def first(test) -> Column:
+        return F.get(F.filter(hits, test), F.lit(0))
+
+    contained = first(
+        lambda h: h["composer"].isNotNull() & (_is(WHOLE, h) | (_is(DICTIONARY_TOKEN, h) & h["surname"])) & ~blocked(h)
+    )
+    plain = first(lambda h: _is(WHOLE, h) & h["ens_id"].isNotNull() & ~h["ens_has_eras"] & h["ens_canonical"].isNotNull())
+    others = F.filter(hits, lambda h: _is(FINDER_TOKEN, h) & h["composer"].isNotNull() & ~_performer(h) & ~blocked(h))
+    whole = first(lambda h: _is(WHOLE, h))
+    return {
+        # the entries of a field's only value
+        **{c: F.when(F.size(values) == 1, whole[c]) for c in NAME_COLUMNS},
+        "protected": F.exists(hits, lambda h: _is(WHOLE, h) & h["protected"]),
+        # A text that is itself a performer is passed over; else the whole, else its first surname
+        "contained_key": contained["key"],
+        "contained": contained["composer"],
+        "plain_ensemble": plain["ens_canonical"],
+        "listed_ensemble": F.exists(hits, lambda h: _is(WHOLE, h) & h["ens_id"].isNotNull()),
+        "first_conductor": first(lambda h: _is(WHOLE, h) & h["conductor"])["person"],
+        # J8, J9, J11
+        "gram_conductor": first(lambda h: _is(GRAM, h) & h["conductor"])["person"],
+        "first_composer": first(lambda h: (_is(WHOLE, h) | _is(FINDER_TOKEN, h)) & h["composer"].isNotNull())["composer"],
+        "others": F.array_distinct(F.transform(others, lambda h: h["composer"])),
+    }
+
+
+def other_than(others: Column, own: Column) -> Column:
+    """The first of the composers that is not the row's own."""
+    return F.get(F.filter(others, lambda c: ~c.eqNullSafe(own)), F.lit(0))
+
+
+def join_facts(df: DataFrame, facts: DataFrame, fields: dict[str, Column], *names: str) -> DataFrame:
+    """Left join of the facts ``names`` (all by default) of each field's value as ``{field}_{name}``."""
+    wanted = names or [c for c in facts.columns if c not in ("field", "value")]
+    for name, value in fields.items():
+        own = facts.filter(F.col("field") == name).select(
+            F.col("value").alias(f"{name}__value"), *[F.col(c).alias(f"{name}_{c}") for c in wanted]
+        )
+        # An empty field has no facts; its null key meets nothing.
+        asked = F.when(F.size(value) > 0, value)
+        df = df.join(own, asked == F.col(f"{name}__value"), "left").drop(f"{name}__value")
+    return df
+
+
 @dataclass
 class Index:
-    """Lookup tables of one dictionary version."""
+    """Lookup tables of one dictionary version; ``lookup`` is a written table of ``keys`` rows."""
 
     dictionary: Dictionary
     lookup: DataFrame
-    literals: dict[str, list[str]] | None
+    keys: int
     typos: list[tuple[str, str]]
     overridden: bool
     has_works: bool
     _works: DataFrame | None = field(default=None)
 
     @classmethod
-    def build(cls, dictionary: Dictionary, literal_limit: int = LITERAL_LIMIT) -> "Index":
-        lookup = build_lookup(dictionary).persist()
-        counted = lookup.count()
-        literals = None
-        if counted <= literal_limit:
-            flags = lookup.select("key", *[F.expr(e).alias(k) for k, e in KINDS.items()]).collect()
-            literals = {k: sorted(r["key"] for r in flags if r[k]) for k in KINDS}
+    def build(cls, dictionary: Dictionary) -> "Index":
+        lookup = settle(build_lookup(dictionary), "lookup")
         return cls(
             dictionary=dictionary,
             lookup=lookup,
-            literals=literals,
+            keys=lookup.count(),
             typos=valid_typos(dictionary),
             overridden=not dictionary.overrides.isEmpty(),
             has_works=not dictionary.works.isEmpty(),
@@ -164,125 +244,59 @@ class Index:
 
     # ---- whole-value lookups -------------------------------------------------
 
+    def _sized(self, names: DataFrame) -> DataFrame:
+        return F.broadcast(names) if self.keys <= BROADCAST_KEYS else names
+
     def resolve(self, df: DataFrame, key: Column, prefix: str, *columns: str) -> DataFrame:
         """Left join of the chosen lookup columns as ``{prefix}_{column}``.
 
-        No hint: Catalyst broadcasts the lookup when its size allows, else it
-        plans a shuffled join that adaptive execution can split on hot keys."""
+        The lookup goes to every task while its counted size allows, else Catalyst
+        plans a join that adaptive execution can split on hot keys."""
         renamed = self.lookup.select(
             F.col("key").alias(f"{prefix}_key"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns]
         )
         # A blank text has no key; null keys never match and add no skew in a broadcast join.
-        return df.join(renamed, F.nullif(key, F.lit("")) == F.col(f"{prefix}_key"), "left")
-
-    # ---- searches inside texts -----------------------------------------------
-
-    def in_kind(self, key: Column, kind: str) -> Column:
-        keys = self.literals[kind]
-        return key.isin(keys) if keys else F.lit(False)
-
-    def first_hit(self, df: DataFrame, out: str, keys: Column, kind: str, row_id: list[str]) -> DataFrame:
-        """First of ``keys`` (in order) that is registered as ``kind``; null if none."""
-        if self.literals is not None:
-            found = F.filter(keys, lambda k: self.in_kind(k, kind))
-            return df.withColumn(out, F.get(found, F.lit(0)))
-        hits = (
-            df.select(*row_id, F.posexplode(keys).alias("_pos", "_key"))
-            .join(self._of_kind(kind), F.col("_key") == F.col("_kind_key"))
-            .groupBy(*row_id)
-            .agg(F.min_by("_key", "_pos").alias(out))
-        )
-        return df.join(hits, row_id, "left")
-
-    def scan_values(
-        self,
-        df: DataFrame,
-        out: str,
-        values: Column,
-        separators: str,
-        row_id: list[str],
-        whole: str | None = None,
-        token: str = "surname",
-        exclude: Column | None = None,
-    ) -> DataFrame:
-        """Search several texts in order. A text that is itself a performer is
-        passed over; else its whole key (kind ``whole``), else its first token
-        of kind ``token`` whose key is not in ``exclude``."""
-        excluded = F.coalesce(exclude, X.no_texts()) if exclude is not None else None
-
-        if self.literals is not None:
-
-            def hits(v: Column) -> Column:
-                def body(k: Column) -> Column:
-                    found = F.filter(token_keys(v, separators), lambda t: self.in_kind(t, token))
-                    if excluded is not None:
-                        found = F.filter(found, lambda t: ~F.array_contains(excluded, t))
-                    decided = F.when(self.in_kind(k, "performer"), X.no_texts())
-                    if whole is not None:
-                        decided = decided.when(self.in_kind(k, whole), F.array(k))
-                    return decided.otherwise(found)
-
-                return let(name_key(v), body)
-
-            return df.withColumn(out, F.get(F.flatten(F.transform(values, hits)), F.lit(0)))
-
-        kinds = self.lookup.select(
-            F.col("key").alias("_kind_key"),
-            F.expr(KINDS["performer"]).alias("_performer"),
-            (F.expr(KINDS[whole]) if whole else F.lit(False)).alias("_whole"),
-            F.expr(KINDS[token]).alias("_token"),
-        )
-        parts = F.flatten(
-            F.transform(
-                values,
-                lambda v, i: F.transform(
-                    F.concat(F.array(name_key(v)), token_keys(v, separators)),
-                    lambda k, j: F.struct(i.alias("v"), j.alias("t"), k.alias("k")),
-                ),
-            )
-        )
-        keep = [excluded.alias("_excluded")] if excluded is not None else []
-        exploded = (
-            df.select(*row_id, *keep, F.explode(parts).alias("_p"))
-            .join(kinds, F.col("_p.k") == F.col("_kind_key"))
-        )
-        if excluded is not None:
-            exploded = exploded.withColumn("_token", F.col("_token") & ~F.array_contains("_excluded", F.col("_p.k")))
-        at, key = F.col("_p.t"), F.col("_p.k")
-        per_value = exploded.groupBy(*row_id, F.col("_p.v").alias("_v")).agg(
-            F.max((at == 0) & F.col("_performer")).alias("_blocked"),
-            F.min(F.when((at == 0) & F.col("_whole"), key)).alias("_w"),
-            F.min_by(key, F.when((at > 0) & F.col("_token"), at)).alias("_t"),
-        )
-        best = (
-            per_value.filter(~F.col("_blocked"))
-            .withColumn("_hit", F.coalesce("_w", "_t"))
-            .filter("_hit is not null")
-            .groupBy(*row_id)
-            .agg(F.min_by("_hit", "_v").alias(out))
-        )
-        return df.join(best, row_id, "left")
-
-    def contained_in_text(self, df: DataFrame, out: str, text: str, key: str, row_id: list[str]) -> DataFrame:
-        """J4 for one text column whose key column is at hand."""
-        if self.literals is None:
-            return self.contained_composer(df, out, F.array_compact(F.array(text)), row_id)
-        found = F.filter(
-            token_keys(F.col(text), X.DICTIONARY_SEPARATORS), lambda t: self.in_kind(t, "surname")
+        return df.join(self._sized(renamed), F.nullif(key, F.lit("")) == F.col(f"{prefix}_key"), "left")
+
+    # ---- facts about texts -----------------------------------------------------
+
+    def facts(self, rows: DataFrame, fields: dict[str, tuple[Column, str]], rare: tuple[str, ...] = ()) -> DataFrame:
+        """(field, value, facts) of the distinct values of the fields that hit the lookup.
+
+        ``fields`` has, by name, an array of texts and the parts to ask for; the values
+        of those in ``rare`` hardly repeat."""
+        common = {f: x for f, x in fields.items() if f not in rare}
+        hits = [
+            self._hits(self._values(rows, part, distinct), {f: parts for f, (_, parts) in part.items()})
+            for part, distinct in ((common, True), ({f: fields[f] for f in rare if f in fields}, False))
+            if part
+        ]
+        grouped = reduce(DataFrame.unionByName, hits).groupBy("field", "value").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+        return grouped.select("field", "value", *[c.alias(n) for n, c in facts_of(F.col("hits"), F.col("value")).items()])
+
+    @staticmethod
+    def _values(rows: DataFrame, fields: dict[str, tuple[Column, str]], distinct: bool) -> DataFrame:
+        pairs = [F.struct(F.lit(f).alias("field"), value.alias("value")) for f, (value, _) in fields.items()]
+        out = rows.select(F.inline(F.array(*pairs))).filter("size(value) > 0")
+        return out.distinct() if distinct else out
+
+    def _hits(self, values: DataFrame, parts: dict[str, str]) -> DataFrame:
+        asked = values.select("field", "value", F.explode(probes(F.col("value"), F.col("field"), parts)).alias("p"))
+        names = self.lookup.withColumnRenamed("key", "_key")
+        found = asked.filter("p.key <> ''").join(self._sized(names), F.col("p.key") == F.col("_key"))
+        # only hits that a fact can come of are shuffled
+        found = found.filter(
+            f"p.part = '{WHOLE}' or (p.part = '{GRAM}' and conductor)"
+            f" or (composer is not null and (p.part = '{FINDER_TOKEN}' or (p.part = '{DICTIONARY_TOKEN}' and surname)))"
         )
-        return df.withColumn(
-            out,
-            F.when(self.in_kind(F.col(key), "performer"), F.lit(None))
-            .when(self.in_kind(F.col(key), "composer"), F.col(key))
-            .otherwise(F.get(found, F.lit(0))),
+        hit = F.struct(
+            "p.i", "p.j", "p.part", "p.key", "surname", "protected", "ens_has_eras", *NAME_COLUMNS
         )
+        return found.select("field", "value", hit.alias("hit"))
 
-    def contained_composer(self, df: DataFrame, out: str, values: Column, row_id: list[str]) -> DataFrame:
-        """Key of the composer name the values contain."""
-        return self.scan_values(df, out, values, X.DICTIONARY_SEPARATORS, row_id, whole="composer")
-
-    def _of_kind(self, kind: str) -> DataFrame:
-        return self.lookup.filter(KINDS[kind]).select(F.col("key").alias("_kind_key"))
+    def with_facts(self, df: DataFrame, fields: dict[str, tuple[Column, str]], *names: str) -> DataFrame:
+        """Adds the facts ``names`` of each field's value as ``{field}_{name}``."""
+        return join_facts(df, self.facts(df, fields), {f: value for f, (value, _) in fields.items()}, *names)
 
     # ---- works, overrides, eras ----------------------------------------------
 

@@ -10,7 +10,7 @@ from tagloom.functions import text as X
 from tagloom.functions.keys import decode_mojibake, has_japanese_run, maybe_mojibake, name_key, name_keys
 from tagloom.operators import reports
 from tagloom.operators.lineage import cut
-from tagloom.operators.lookup import Index
+from tagloom.operators.lookup import DICTIONARY_TOKEN, WHOLE, Index
 from tagloom.plans.audit import AuditContext, inspect
 from tagloom.sources.dictionary import Dictionary
 
@@ -119,8 +119,8 @@ def strip_composers(hints: DataFrame, index: Index, row_id: list[str]) -> DataFr
     words = F.filter(F.split("hint", f"[{X.WORD_SEPARATORS}:]+"), lambda w: w != "")
     parts = hints.select(*row_id, F.posexplode(words).alias("p", "word"))
     parts = parts.withColumn("bare", F.nullif(X.trim_name(F.col("word")), F.lit("")))
-    parts = parts.withColumn("bare_key", name_key(F.col("bare")))
-    parts = index.contained_in_text(parts, "_is", "bare", "bare_key", [*row_id, "p"]).filter("_is is null")
+    bare = {"bare": (F.array_compact(F.array("bare")), WHOLE + DICTIONARY_TOKEN)}
+    parts = index.with_facts(parts, bare, "contained").filter("bare_contained is null")
     cleaned = parts.groupBy(*row_id).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "word"))), lambda x: x["word"]), " ").alias("t")
     )
@@ -145,8 +145,8 @@ def suggest_works(units: DataFrame, index: Index) -> DataFrame:
     cleaned = strip_composers(latin, index, row_id).filter(
         (F.length("cleaned") >= 2) & F.col("cleaned").rlike(r"\p{L}")
     )
-    cleaned = cleaned.withColumn("ck", name_key(F.col("cleaned")))
-    cleaned = index.contained_in_text(cleaned, "_named", "cleaned", "ck", row_id).filter("_named is null")
+    text = {"cleaned": (F.array("cleaned"), WHOLE + DICTIONARY_TOKEN)}
+    cleaned = index.with_facts(cleaned, text, "contained").filter("cleaned_contained is null")
     own = cleaned.select(*unit, F.col("cleaned").alias("value"), F.lit("hint").alias("source"),
                          F.lit(0).alias("step"), F.col("pos.a").alias("x"), F.col("pos.b").alias("y"),
                          F.col("pos.c").alias("z"), F.lit("").alias("t"))

@@ -12,7 +12,8 @@ UNIT = ["folder", "disc"]
 
 
 def unit_values(tracks: DataFrame, index: Index, albumartist: bool = False, raw_date: bool = False) -> DataFrame:
-    """One row per (track, kind, value): composers and artists as canonicals where known.
+    """Distinct (unit, kind, value) with ``n`` rows each: composers and artists as canonicals
+    where known. Names are folded and looked up once per unit, not once per track.
 
     ``kind``: c composer, p artist, d year, a album, e albumartist, t the track itself."""
 
@@ -30,6 +31,7 @@ def unit_values(tracks: DataFrame, index: Index, albumartist: bool = False, raw_
     if albumartist:
         parts.append(tagged("e", F.col("albumartist")))
     rows = tracks.select(*UNIT, F.explode(F.concat(*parts)).alias("x")).select(*UNIT, "x.kind", "x.value")
+    rows = rows.groupBy(*UNIT, "kind", "value").agg(F.count("*").alias("n"))
     key = F.when(F.col("kind").isin("c", "p", "e"), name_key(F.col("value")))
     known = index.resolve(rows, key, "n", "composer", "person", "ens_id")
     value = (
@@ -38,7 +40,7 @@ def unit_values(tracks: DataFrame, index: Index, albumartist: bool = False, raw_
         .when((F.col("kind") == "e") & F.col("n_ens_id").isNotNull(), F.concat(F.lit("#"), F.col("n_ens_id")))
         .otherwise(F.col("value"))
     )
-    return known.select(*UNIT, "kind", value.alias("value"))
+    return known.select(*UNIT, "kind", value.alias("value"), "n")
 
 
 def _of(kind: str) -> Column:
@@ -52,7 +54,7 @@ def album_units(tracks: DataFrame, index: Index, albumartist: bool = False, raw_
     if albumartist:
         kinds["e"] = "albumartists"
     return unit_values(tracks, index, albumartist, raw_date).groupBy(*UNIT).agg(
-        F.count_if(F.col("kind") == "t").alias("n_tracks"),
+        F.sum(F.when(F.col("kind") == "t", F.col("n"))).alias("n_tracks"),
         *[F.array_sort(F.collect_set(_of(k))).alias(name) for k, name in kinds.items()],
     )
 
@@ -73,7 +75,7 @@ def sole(name: str) -> Column:
 
 def unit_works(tracks: DataFrame, index: Index) -> DataFrame:
     """Works that the unit's albums name: first album in sorted order, per composer."""
-    albums = tracks.select(*UNIT, F.explode("album").alias("album"))
+    albums = tracks.select(*UNIT, F.explode("album").alias("album")).distinct()
     named = albums.withColumn("_key", name_key(F.col("album")))
     hits = named.join(index.works, F.col("_key") == F.col("work_key"))
     return (

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.functions import text as X
+from tagloom.operators.lineage import settle
 from tagloom.operators.lookup import Index
 from tagloom.schema import FIELDS
 from tagloom.sources.dictionary import Dictionary, from_rows
@@ -125,16 +126,22 @@ def fixture_index(spark: SparkSession) -> Index:
     return _INDEXES[key]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A file too small to split is spread over the cores; a real table, which has
-    more splits than cores, is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+_ROWS: dict[tuple, DataFrame] = {}
+
+
+def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``SCALARS``, written once per application and folder as a catalogue is:
+    in files, so that a scan is dealt to tasks whatever the splits of the orders."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROWS:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+        rows = spark.sql(SCALARS.replace("FROM orders", "FROM {orders}"), orders=orders)
+        _ROWS[key] = settle(rows, "catalogue", records=20_000)
+    return _ROWS[key]
 
 
 def fixture_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
-    rows = spark.sql(SCALARS.replace("FROM orders", "FROM {orders}"), orders=orders)
+    rows = fixture_rows(spark, sf_dir)
     lists = {
         f: F.array_compact(F.array(f)) for f in FIELDS if f not in ("composer", "comment")
     }
@@ -158,8 +165,7 @@ def fixture_snapshot(tracks: DataFrame) -> DataFrame:
 
 def fixture_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of manual edits, one or two per row: changes, repeats, clears, resets."""
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
-    rows = spark.sql(SCALARS.replace("FROM orders", "FROM {orders}"), orders=orders)
+    rows = fixture_rows(spark, sf_dir)
     return rows.selectExpr(
         "relative_path",
         """inline(array(

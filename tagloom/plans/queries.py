@@ -243,7 +243,6 @@ def q_hints(spark, sf):
 
 
 def q_template(spark, sf):
-    use_test_checkpoints(spark)
     made = S.works_template(report_units(spark, sf).persist(), fixture_index(spark))
     tagged = {
         "works": made["works"].select("composer", texts("aliases").alias("aliases"), texts("aliases_ja").alias("aliases_ja"), "first_alias"),
@@ -253,17 +252,6 @@ def q_template(spark, sf):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def use_test_checkpoints(spark: SparkSession) -> None:
-    """In a local run without a checkpoint folder, use a new one. On a cluster the
-    folder must be named, because a machine's own folder does not survive it."""
-    if not spark.sparkContext.master.startswith("local"):
-        return
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-
-
 def q_typo_trial(spark, sf):
     titles = fixture_tracks(spark, sf).select(F.explode("title").alias("title"))
     return D.try_typo(titles, "title", r"\bAllgro\b", "Allegro").groupBy("before", "after").agg(F.count("*").alias("n"))

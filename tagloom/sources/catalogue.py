@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom.functions import text as X
+from tagloom.operators.lineage import cut
 from tagloom.schema import FIELDS, FORMAT_BY_EXTENSION
 
 # Raw tag name of each field per format.
@@ -27,6 +34,8 @@ RAW_NAMES = {
 }
 HEX_PREFIX = "0x"
 EXCLUDED_PREFIX = "backup_"
+# Rows of a listing that a task holds.
+LISTED_ROWS = 10_000
 
 
 def extension_of(path: Column) -> Column:
@@ -130,15 +139,62 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def children(place: str) -> Iterator[tuple[str, bool]]:
+    """(name, is a folder) of what lies in a folder; an unreadable folder has nothing. Links to folders are not followed."""
+    if place.startswith(("file:", "/")):
+        try:
+            with os.scandir(place.removeprefix("file:")) as entries:
+                for entry in entries:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield entry.name, True
+                    elif entry.is_file():
+                        yield entry.name, False
+        except (PermissionError, FileNotFoundError):
+            return
+        return
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(quote(place, safe=":/"))
+    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        yield info.base_name, info.type == fs.FileType.Directory
+
+
+def _listing(base: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batch(rows: list[tuple[str, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["relative_path", "is_folder"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, bool]] = []
+        for folders in batches:
+            for folder in folders.column(0).to_pylist():
+                for name, is_folder in children(base + folder):
+                    rows.append((folder + name, is_folder))
+                    if len(rows) >= LISTED_ROWS:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+    return run
+
+
 def list_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """S1 as a listing: paths below ``root`` without reading any content."""
+    """S1 as a listing: paths below ``root``, whatever their names and sizes, without reading any content.
+
+    Goes down level by level: tasks list the folders of a level and write what they find, and the folders among it
+    are the next level. A backup folder is not entered. The driver sees only whether a level has folders."""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    after = F.substr("path", F.lit(len(base) + 1))
-    listed = files.select(after.alias("relative_path"), F.col("path").alias("full_path"))
-    return listed.filter(is_target(F.col("relative_path"), extensions)).withColumn(
-        "format", format_of(F.col("relative_path"))
+    level, files = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        listed = cut(level.mapInArrow(_listing(base), "relative_path string, is_folder boolean"))
+        files.append(listed.filter(~F.col("is_folder") & is_target(F.col("relative_path"), extensions)))
+        inner = listed.filter(F.col("is_folder") & ~F.startswith(F.lower(X.file_name_of(F.col("relative_path"))), F.lit(EXCLUDED_PREFIX)))
+        if inner.isEmpty():
+            break
+        level = inner.select(F.concat("relative_path", F.lit("/")).alias("folder")).repartition("folder")
+    found = reduce(DataFrame.unionByName, files)
+    return found.select(
+        "relative_path", F.concat(F.lit(base), "relative_path").alias("full_path"), format_of(F.col("relative_path")).alias("format")
     )
 
 
