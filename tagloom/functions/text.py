@@ -227,21 +227,23 @@ def fix_typos(text: Column, typos: list[tuple[str, str]]) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """sort key; digit runs compare as numbers, longer zero padding last."""
+    """sort key. Runs of ASCII digits compare as numbers, longer zero padding
+    last; other runs compare by the Unicode collation, where case and accents only
+    decide between otherwise equal texts. A text without more runs comes first."""
 
     def part(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+", "")
         number = F.struct(
-            F.lit(0).alias("kind"), F.length(digits).alias("size"),
-            digits.alias("text"), F.length(run).alias("padded"),
+            F.lit(0).alias("kind"), F.length(digits).alias("size"), digits.alias("digits"), F.length(run).alias("padded"),
+            F.collate(F.lit(""), "UNICODE").alias("text"),
         )
         words = F.struct(
-            F.lit(1).alias("kind"), F.lit(0).alias("size"),
-            F.lower(run).alias("text"), F.lit(0).alias("padded"),
+            F.lit(1).alias("kind"), F.lit(0).alias("size"), F.lit("").alias("digits"), F.lit(0).alias("padded"),
+            F.collate(run, "UNICODE").alias("text"),
         )
-        return F.when(run.rlike(r"^\d"), number).otherwise(words)
+        return F.when(run.rlike("^[0-9]"), number).otherwise(words)
 
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1)), part)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), part)
 
 
 def first_difference(left: Column, right: Column) -> Column:
@@ -256,7 +258,7 @@ def first_difference(left: Column, right: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """entity id made from a name."""
-    dashed = F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "-")
+    dashed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+", "-")
     bare = F.regexp_replace(dashed, "^-+|-+$", "")
     return F.when(bare == "", "ensemble").otherwise(bare)
 

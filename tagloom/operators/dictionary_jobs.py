@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom.functions import text as X
 from tagloom.functions.keys import folder_lookup_key, let, name_key, name_keys
-from tagloom.operators.lineage import cut
+from tagloom.operators.lineage import settle
 from tagloom.operators.lookup import dict_names, ensemble_label, is_valid_pattern
+from tagloom.operators.ordering import numbered_within
 from tagloom.sources.dictionary import Dictionary
 
 ROLES = ["conductor", "soloist"]
@@ -149,9 +152,10 @@ def nearest_composers(dictionary: Dictionary) -> DataFrame:
     """Works whose composer is no canonical name, with the closest one within
     three edits.
 
-    Two texts within three edits share a fourth of the shorter one at nearly the
-    same place, so candidates come from an equi-join on such pieces instead of
-    comparing every pair."""
+    Of a name cut into four, three edits leave a part whole, and the edits before and
+    behind it bound how far it has moved. So candidates come from an equi-join of the
+    parts of each distinct name with a few substrings of each distinct unknown one,
+    instead of comparing every pair."""
     composers = dictionary.composers.select(F.col("ord").alias("c_ord"), F.col("canonical").alias("c"))
     orphans = (
         dictionary.works.filter(~_blank("composer"))
@@ -159,14 +163,19 @@ def nearest_composers(dictionary: Dictionary) -> DataFrame:
         .select("ord", "composer", "canonical")
     )
 
-    def pieces(text: Column, n: Column, shift: bool) -> Column:
-        """Of a text cut into four for length n: (n, part, piece), at shifted starts."""
+    def pieces(text: Column, n: Column, moved: Column | None) -> Column:
+        """Of a text cut into four for length n: (n, part, piece). With ``moved`` (its
+        own length less n), every start that the part can have moved to."""
         size = F.floor(n / 4).cast("int")
 
         def part(i: Column) -> Column:
             start = i * size + 1
             width = F.when(i == 3, n - 3 * size).otherwise(size)
-            shifts = F.sequence(F.lit(-NEAR), F.lit(NEAR)) if shift else F.array(F.lit(0))
+            if moved is None:
+                shifts = F.array(F.lit(0))
+            else:
+                low, high = F.greatest(-i, moved - (NEAR - i)), F.least(i, moved + (NEAR - i))
+                shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
             return F.transform(
                 F.filter(shifts, lambda d: start + d >= 1),
                 lambda d: F.struct(n.alias("n"), i.alias("i"), F.substr(text, start + d, width).alias("piece")),
@@ -174,21 +183,23 @@ def nearest_composers(dictionary: Dictionary) -> DataFrame:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), part))
 
-    length = F.length("c")
-    index = composers.select("c_ord", "c", F.explode(pieces(F.col("c"), length, False)).alias("p"))
-    lengths = F.sequence(F.greatest(F.length("composer") - NEAR, F.lit(0)), F.length("composer") + NEAR)
-    probes = orphans.select(
-        "ord", "composer", "canonical",
-        F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: pieces(F.col("composer"), n, True))))).alias("q"),
+    names = composers.groupBy("c").agg(F.min("c_ord").alias("c_ord"))
+    asked = orphans.select("composer").distinct()
+    index = names.select("c_ord", "c", F.explode(pieces(F.col("c"), F.length("c"), None)).alias("p"))
+    own = F.length("composer")
+    lengths = F.sequence(F.greatest(own - NEAR, F.lit(0)), own + NEAR)
+    probes = asked.select(
+        "composer",
+        F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: pieces(F.col("composer"), n, own - n))))).alias("q"),
     )
     pairs = (
         probes.join(index, F.col("q") == F.col("p"))
-        .select("ord", "composer", "canonical", "c_ord", "c").distinct()
+        .select("composer", "c_ord", "c").distinct()
         .withColumn("d", F.levenshtein("composer", "c", NEAR))
         .filter("d >= 0")
     )
-    best = pairs.groupBy("ord").agg(F.min(F.struct("d", "c_ord", "c")).alias("b"))
-    return orphans.join(best, "ord", "left").select(
+    best = pairs.groupBy("composer").agg(F.min(F.struct("d", "c_ord", "c")).alias("b"))
+    return orphans.join(best, "composer", "left").select(
         "ord", "composer", "canonical", F.col("b.c").alias("closest"),
         F.when(F.col("b.c").isNotNull(), X.first_difference(F.col("composer"), F.col("b.c"))).alias("differs_at"),
     )
@@ -507,7 +518,7 @@ def clean_aliases(dictionary: Dictionary, only: str | None = None) -> Dictionary
 def _fresh(values: Column, taken: Column) -> Column:
     """Trimmed values whose key is neither taken nor given before; empty keys pass."""
     keyed = F.transform(
-        F.filter(F.transform(values, lambda s: F.trim(s)), lambda a: a != ""),
+        F.filter(F.transform(values, X.strip), lambda a: a != ""),
         lambda a: F.struct(a.alias("v"), name_key(a).alias("k")),
     )
     fresh = F.filter(keyed, lambda p: (p["k"] == "") | ~F.array_contains(taken, p["k"]))
@@ -567,7 +578,7 @@ def add_aliases(table: DataFrame, rows: DataFrame, names: Column | None = None)
 def upsert_works(works: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows (ord, composer, canonical, aliases): a known (composer, canonical) only
     gains aliases, others are appended once."""
-    trimmed = rows.withColumns({"composer": F.trim("composer"), "canonical": F.trim("canonical")})
+    trimmed = rows.withColumns({"composer": X.strip(F.col("composer")), "canonical": X.strip(F.col("canonical"))})
     grouped = trimmed.groupBy("composer", "canonical").agg(
         F.min("ord").alias("_ord"),
         F.flatten(
@@ -607,46 +618,90 @@ def upsert_overrides(overrides: DataFrame, rows: DataFrame) -> DataFrame:
     return _after(replaced, new)
 
 
+_SUFFIX = r"^(.+)-([1-9]\d{0,8})$"
+
+
 def entity_ids(names: DataFrame, ensembles: DataFrame) -> DataFrame:
     """F15 for new ensembles (ord, canonical): slugs, with the next free suffix, as
     if given one after another in the order of ``ord``.
 
-    A suffixed id of one stem can be the slug of another name ("Foo 2"), only below
-    one root. So each round gives ids up to the first name of a root that finds its
-    id taken by an earlier one; without such clashes there is one round."""
+    The r-th name of a stem gets its r-th free number. A number is not free if an old
+    id has it, or if the slug of another name is that very id ("Foo 2") and came
+    earlier; whether it did when its turn came follows from the stem's own names
+    alone. A stem whose parent ("foo" of "foo-2") gave its plain id away loses its
+    first number. So stems are decided by the number of suffixes in them, in as many
+    steps as the longest slug has; places are counted over ranges, so a stem may have
+    any number of names. Only where slugs are ids of other stems does one task see
+    the numbers (not the names) of a stem together."""
     slug = X.slug(F.col("canonical"))
-    waiting = names.select("ord", "canonical", slug.alias("stem"), F.regexp_replace(slug, r"(-\d+)+$", "").alias("root"))
-    taken = ensembles.select(F.lower("entity_id").alias("id")).distinct()
-    given = []
-    while True:
-        proposed = cut(_free_ids(waiting, taken))
-        first = proposed.groupBy("entity_id").agg(F.min("ord").alias("_first"))
-        clash = proposed.join(first, "entity_id").filter("ord > _first").groupBy("root").agg(F.min("ord").alias("_from"))
-        judged = cut(proposed.join(clash, "root", "left"))
-        given.append(judged.filter("_from is null or ord < _from").select("ord", "canonical", "entity_id"))
-        waiting = judged.filter("ord >= _from").select("ord", "canonical", "stem", "root")
-        if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, given)
-        taken = cut(taken.union(given[-1].select("entity_id")))
-
-
-def _free_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
-    """The n-th name of a stem gets the n-th suffix that no taken id has.
-
-    Before a taken suffix stand as many free ones as its value less its rank, so one
-    running count over names and taken suffixes finds the free one."""
-    suffixed = F.regexp_extract("id", r"^(.+)-([1-9]\d{0,8})$", 1)
-    n = F.regexp_extract("id", r"-(\d{1,9})$", 1).try_cast("int")
-    numbers = taken.select(F.col("id").alias("stem"), F.lit(1).alias("n")).unionByName(
-        taken.select(suffixed.alias("stem"), n.alias("n")).filter("stem <> '' and n > 1")
-    ).join(names.select("stem"), "stem", "left_semi")
-    by_n = Window.partitionBy("stem").orderBy("n")
-    gaps = numbers.select("stem", (F.col("n") - F.row_number().over(by_n)).alias("k"), F.lit(False).alias("is_name"))
-    ranked = names.withColumns({"k": F.row_number().over(Window.partitionBy("stem").orderBy("ord")) - 1, "is_name": F.lit(True)})
-    so_far = Window.partitionBy("stem").orderBy("k", "is_name").rowsBetween(Window.unboundedPreceding, 0)
-    counted = ranked.unionByName(gaps, allowMissingColumns=True).withColumn("n", F.col("k") + 1 + F.count_if(~F.col("is_name")).over(so_far))
+    depth = F.size(F.regexp_extract_all(F.regexp_extract(slug, r"((?:-\d+)+)$", 1), F.lit(r"-\d+"), F.lit(0)))
+    waiting = names.select("ord", "canonical", slug.alias("stem"), depth.alias("depth"))
+    waiting = settle(numbered_within(waiting, "r", "stem", "ord"), "stems")
+    first = waiting.filter("r = 0").select("stem", F.col("ord").alias("e"))
+    claims = _numbers(first, "stem", "e").filter("n > 1")
+    old = ensembles.select(F.lower("entity_id").alias("id")).filter("id is not null").distinct()
+    taken = old.select(F.col("id").alias("stem"), F.lit(1).alias("n")).unionByName(_numbers(old, "id").filter("n > 1"))
+    given: list[DataFrame] = []
+    deepest = waiting.agg(F.max("depth")).head()[0]
+    for level in range(0 if deepest is None else deepest + 1):
+        here = waiting.filter(F.col("depth") == level)
+        stems = here.select("stem").distinct()
+        blocked = taken.join(stems, "stem", "left_semi")
+        if given:
+            lost = given[-1].select(F.col("entity_id").alias("stem"), F.col("ord").alias("by")).join(first, "stem").filter("by < e")
+            blocked = blocked.unionByName(lost.select("stem", F.lit(1).alias("n"))).distinct()
+        open_claims = claims.join(stems, "stem", "left_semi").join(blocked, ["stem", "n"], "left_anti")
+        skipped = _skipped(here, open_claims, blocked)
+        given.append(settle(_with_free_numbers(here, blocked.unionByName(skipped)), "ids"))
+    if not given:
+        return names.select("ord", "canonical", F.lit("").alias("entity_id")).limit(0)
+    return reduce(DataFrame.unionByName, given)
+
+
+def _numbers(ids: DataFrame, column: str, *keep: str) -> DataFrame:
+    """(stem, n) of ids that are a stem and a number."""
+    number = F.regexp_extract(column, _SUFFIX, 2).try_cast("int")
+    return ids.select(F.regexp_extract(column, _SUFFIX, 1).alias("stem"), number.alias("n"), *keep).filter("n is not null")
+
+
+def _skipped(names: DataFrame, claims: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Claims (stem, n, e) that were made before the stem's names come to the number."""
+    rows = (
+        claims.select("stem", F.lit(2).alias("kind"), F.col("n").cast("long").alias("a"), F.col("e").cast("long").alias("b"))
+        .unionByName(blocked.select("stem", F.lit(0).alias("kind"), F.col("n").cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+        .unionByName(names.select("stem", F.lit(1).alias("kind"), F.col("r").cast("long").alias("a"), F.col("ord").cast("long").alias("b")))
+    )
+
+    def of_stem(table: pa.Table) -> pa.Table:
+        kind, a, b = (table[c].to_numpy() for c in ("kind", "a", "b"))
+        before = np.sort(a[kind == 0])
+        came = b[kind == 1][np.argsort(a[kind == 1])]
+        order = np.argsort(a[kind == 2])
+        out: list[int] = []
+        for n, e in zip(a[kind == 2][order].tolist(), b[kind == 2][order].tolist()):
+            place = n - int(np.searchsorted(before, n)) - len(out)  # which name would get the number
+            if place > len(came):
+                break
+            if e < came[place - 1]:
+                out.append(n)
+        return pa.table({"stem": pa.array([table["stem"][0].as_py()] * len(out), pa.string()), "n": pa.array(out, pa.int32())})
+
+    claimed = rows.join(claims.select("stem").distinct(), "stem", "left_semi")
+    return claimed.groupBy("stem").applyInArrow(of_stem, "stem string, n int")
+
+
+def _with_free_numbers(names: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The r-th name of a stem with its r-th number that is not blocked.
+
+    Before the j-th blocked number b stand b - j free ones, so among names (by r) and
+    blocked numbers (by b - j, first at a tie) a name's place is its number."""
+    plain = names.join(blocked.select("stem").distinct(), "stem", "left_anti").withColumn("n", F.col("r") + 1)
+    held = numbered_within(blocked, "j", "stem", "n").select("stem", (F.col("n") - F.col("j") - 1).alias("k"), F.lit(False).alias("is_name"))
+    asked = names.join(blocked.select("stem").distinct(), "stem", "left_semi").withColumns({"k": F.col("r"), "is_name": F.lit(True)})
+    mixed = numbered_within(asked.unionByName(held, allowMissingColumns=True), "at", "stem", "k", "is_name")
+    counted = mixed.filter("is_name").withColumn("n", F.col("at") + 1).select(*names.columns, "n")
     entity_id = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string")))
-    return counted.filter("is_name").select("ord", "canonical", "stem", "root", entity_id.alias("entity_id"))
+    return plain.unionByName(counted).select("ord", "canonical", entity_id.alias("entity_id"))
 
 
 # ---- import, trial, registration (W19, W20, W24, W25) ------------------------------------------------
@@ -671,45 +726,115 @@ def try_typo(texts: DataFrame, column: str, pattern: str, replacement: str) -> D
 
 def register_unknown(unknown: DataFrame, decisions: DataFrame, lookup: DataFrame) -> DataFrame:
     """Decisions (value, category, action alias|new, target, canonical, entity_id,
-    roles) joined to unknown values; ``problem`` is null for rows to take over."""
-    df = unknown.select("value", "category", "n_paths").join(decisions, ["value", "category"])
+    roles) with the unknown values they are for; ``problem`` is null for rows to take
+    over. Every decision stays."""
+    found = unknown.select("value", "category", "n_paths", F.lit(True).alias("_found"))
+    df = decisions.join(found, ["value", "category"], "left")
+    df = df.select("value", "category", "n_paths", *[c for c in df.columns if c not in ("value", "category", "n_paths")])
     target, name = _blank("target"), _blank("canonical")
     problem = (
-        F.when((F.col("action") == "alias") & target, "no_target")
+        F.when(F.col("_found").isNull(), "not_found")
+        .when((F.col("action") == "alias") & target, "no_target")
         .when((F.col("action") == "new") & name, "no_name")
         .when((F.col("action") == "new") & (F.col("category") == "ensemble") & _blank("entity_id"), "no_entity_id")
         .when((F.col("action") == "new") & (F.col("category") == "person") & (F.coalesce(F.size("roles"), F.lit(0)) <= 0), "no_role")
         .when(~F.coalesce(F.col("action").isin("alias", "new"), F.lit(False)), "no_action")
     )
-    return already_known(df.withColumn("problem", problem), "value", lookup)
+    return already_known(df.withColumn("problem", problem).drop("_found"), "value", lookup)
+
+
+def take_over(dictionary: Dictionary, checked: DataFrame) -> tuple[Dictionary, DataFrame]:
+    """The dictionary with the accepted decisions, and what became of each
+    (seq, value, category, action, code); ``code`` is null where it was taken.
+
+    Rows are taken in the order of ``seq``. An alias goes to the first entry with the
+    target as a name; a name that the entry has, or that an earlier row gave it, is not
+    given again. A new entry is made once, by the first row that names it."""
+    rows = checked.select("seq", "value", "category", "action", "target", "canonical", "entity_id", "roles", "problem")
+    fine = rows.filter("problem is null")
+    ensembles = dictionary.ensembles
+    named = {
+        "composer": (dictionary.composers, F.array("canonical")), "person": (dictionary.persons, F.array("canonical")),
+        "ensemble": (ensembles, F.concat(F.array("canonical"), F.transform("eras", lambda e: e["canonical"]))),
+    }
+    owners = reduce(DataFrame.unionByName, [
+        t.select(F.lit(c).alias("category"), "ord", F.explode(names).alias("target")) for c, (t, names) in named.items()
+    ]).filter("target is not null").groupBy("category", "target").agg(F.min("ord").alias("ord"))
+    held = _entry_names(dictionary).select("category", "ord", "key", F.lit(True).alias("held")).distinct()
+    aliases = (
+        fine.filter("action = 'alias'").withColumn("key", name_key(F.col("value")))
+        .join(owners, ["category", "target"], "left").join(held, ["category", "ord", "key"], "left")
+    )
+    earliest = aliases.filter("ord is not null").groupBy("category", "ord", "key").agg(F.min("seq").alias("first"))
+    aliases = aliases.join(earliest, ["category", "ord", "key"], "left").withColumn(
+        "code",
+        F.when(F.col("ord").isNull(), "unknown_target").when(F.col("held"), "already_there")
+        .when(F.col("seq") > F.col("first"), "claimed"),
+    )
+    entry = F.when(F.col("category") == "ensemble", F.lower(X.strip(F.col("entity_id")))).otherwise(name_key(F.col("canonical")))
+    made = fine.filter("action = 'new'").withColumn("entry", entry)
+    known = _entries(dictionary).select("category", "entry", F.lit(True).alias("known")).distinct()
+    earliest = made.groupBy("category", "entry").agg(F.min("seq").alias("first"))
+    made = made.join(known, ["category", "entry"], "left").join(earliest, ["category", "entry"]).withColumn(
+        "code", F.when(F.col("known"), "exists").when(F.col("seq") > F.col("first"), "claimed")
+    )
+    keep = ["seq", "value", "category", "action"]
+    outcome = reduce(DataFrame.unionByName, [
+        rows.filter("problem is not null").select(*keep, F.col("problem").alias("code")),
+        aliases.select(*keep, "code"), made.select(*keep, "code"),
+    ])
+    tables = {}
+    for category, (table, names) in named.items():
+        given = aliases.filter((F.col("category") == category) & F.col("code").isNull())
+        grown, _ = add_aliases(table, given.select("target", F.col("value").alias("alias"), "seq"), names)
+        new = made.filter((F.col("category") == category) & F.col("code").isNull()).select(
+            F.col("seq").cast("long").alias("ord"), X.strip(F.col("canonical")).alias("canonical"), F.array("value").alias("aliases"),
+            "roles", X.strip(F.col("entity_id")).alias("entity_id"), F.lit(False).alias("no_era_split"), F.lit(False).alias("no_conductor"),
+            F.array().cast(ensembles.schema["eras"].dataType).alias("eras"),
+        )
+        tables[f"{category}s"] = add_entries(grown, new)
+    return dictionary.with_tables(**tables), outcome
 
 
 def register_works(units: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (folder, disc, composer, name, aliases) for units (albums as a
-    list): rejected without a name; warned when album and folder numbers disagree (U4)."""
-    df = decisions.join(units.select("folder", "disc", "albums"), ["folder", "disc"])
+    list). ``problem``: no such unit, or no name; warned when album and folder numbers
+    disagree (U4). Every decision stays."""
+    held = units.select(
+        F.col("folder").alias("_folder"), F.col("disc").alias("_disc"), F.coalesce("albums", X.no_texts()).alias("albums"), F.lit(True).alias("_found")
+    )
+    df = decisions.join(held, (F.col("folder") == F.col("_folder")) & F.col("disc").eqNullSafe(F.col("_disc")), "left")
     album = F.array_distinct(F.flatten(F.transform("albums", X.numbers_in)))
     folder = X.numbers_in(F.element_at(F.split("folder", "/"), -1))
     apart = (F.size(album) > 0) & (F.size(folder) > 0) & (F.size(F.array_intersect(album, folder)) == 0)
     return df.select(
-        "folder", "disc", "composer", "name", "aliases",
-        F.when(_blank("name"), "no_name").alias("problem"),
+        *decisions.columns,
+        F.when(F.col("_found").isNull(), "no_unit").when(_blank("name"), "no_name").alias("problem"),
         F.when(apart, "numbers_disagree").alias("warning"),
     )
 
 
-def check_overrides(rows: DataFrame, holds: DataFrame) -> DataFrame:
+def take_over_works(dictionary: Dictionary, checked: DataFrame) -> Dictionary:
+    """The works of the accepted decisions (``seq`` is their order)."""
+    rows = checked.filter("problem is null").select(F.col("seq").cast("long").alias("ord"), "composer", F.col("name").alias("canonical"), "aliases")
+    return dictionary.with_tables(works=upsert_works(dictionary.works, rows))
+
+
+def check_overrides(rows: DataFrame, holds: DataFrame, units: DataFrame | None = None, composers: DataFrame | None = None) -> DataFrame:
     """Override proposals (folder, disc, composer, work_name, date, exclude, note)
     against the holds (folder, disc, unit_hold); ``problem`` is null for acceptable rows.
 
     One row per proposal. Without a disc it is for the whole folder, where excluding
     is offered unless all its held units wait for a date only. An excluding row keeps
-    no other choice."""
+    no other choice. With ``units`` (folder, disc, composers, dates), a date must be one
+    of the unit's own, and a composer one of the unit's or of ``composers`` (name)."""
     of_date = F.bool_and(F.coalesce(F.col("unit_hold") == "DateUnknown", F.lit(False))).alias("_of_date")
-    units = holds.filter("disc is not null").groupBy("folder", "disc").agg(of_date)
-    folders = holds.groupBy("folder").agg(of_date).withColumn("disc", F.lit(None).cast(holds.schema["disc"].dataType))
-    held = units.unionByName(folders).withColumnsRenamed({"folder": "_folder", "disc": "_disc"})
-    df = rows.join(held, (F.col("folder") == F.col("_folder")) & F.col("disc").eqNullSafe(F.col("_disc")), "left")
+    by_disc = holds.filter("disc is not null").groupBy("folder", "disc").agg(of_date)
+    none = F.lit(None).cast(holds.schema["disc"].dataType)
+    by_folder = holds.groupBy("folder").agg(of_date).withColumn("disc", none)
+    held = by_disc.unionByName(by_folder).withColumnsRenamed({"folder": "_folder", "disc": "_disc"})
+    at = (F.col("folder") == F.col("_folder")) & F.col("disc").eqNullSafe(F.col("_disc"))
+    df = rows.join(held, at, "left").drop("_folder", "_disc")
     excludes = F.coalesce("exclude", F.lit(False))
     choices = ["composer", "work_name", "date"]
     problem = (
@@ -719,5 +844,19 @@ def check_overrides(rows: DataFrame, holds: DataFrame) -> DataFrame:
         .when(excludes & F.col("_of_date"), "exclude_not_offered")
         .when(~excludes & ~_blank("date") & ~F.col("date").rlike(r"^\d{4}$"), "year_form")
     )
+    if units is not None:
+        for choice in ("composer", "date"):
+            own = units.select("folder", "disc", F.explode(f"{choice}s").alias("_value"))
+            own = own.unionByName(own.withColumn("disc", none)).distinct().withColumnsRenamed({"folder": "_folder", "disc": "_disc"})
+            own = own.withColumn(f"_own_{choice}", F.lit(True))
+            df = df.join(own, at & (F.col(choice) == F.col("_value")), "left").drop("_folder", "_disc", "_value")
+        if composers is not None:
+            listed = composers.select(F.col("name").alias("_name"), F.lit(True).alias("_listed")).distinct()
+            df = df.join(listed, F.col("composer") == F.col("_name"), "left").drop("_name")
+        else:
+            df = df.withColumn("_listed", F.lit(None).cast("boolean"))
+        problem = problem.when(~excludes & ~_blank("date") & F.col("_own_date").isNull(), "date_not_in_unit").when(
+            ~excludes & ~_blank("composer") & F.coalesce("_own_composer", "_listed").isNull(), "composer_not_offered"
+        )
     kept = [F.when(~excludes, F.col(c)).alias(c) if c in choices else F.col(c) for c in rows.columns]
     return df.select(*kept, problem.alias("problem"))

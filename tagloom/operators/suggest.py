@@ -46,27 +46,25 @@ def name_candidates(dictionary: Dictionary, category: str) -> DataFrame:
 def suggest_names(queries: DataFrame, dictionary: Dictionary, category: str, limit: int = TOP_NAMES) -> DataFrame:
     """For each distinct ``query``, entries with a name that contains it.
 
-    A name that contains the query contains the query's first three characters,
-    so names are found by an equi-join on their short pieces and then tested;
-    no query meets every name."""
+    A name that contains the query contains each three characters of it. Names are
+    found by an equi-join on the rarest of these pieces and then tested; no query meets
+    every name, and a start that all names share is not what they are found by."""
     names = name_candidates(dictionary, category)
     asked = queries.select("query").distinct().withColumn("q", name_key(F.col("query")))
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array(F.lit(1), F.lit(2), F.lit(3)),
-                lambda n: F.transform(
-                    F.when(F.length("key") >= n, F.sequence(F.lit(1), F.length("key") - n + 1)).otherwise(
-                        F.array().cast("array<int>")
-                    ),
-                    lambda i: F.substr("key", i, n),
-                ),
-            )
-        )
-    )
-    index = names.filter("key <> ''").select("*", F.explode(pieces).alias("piece"))
-    probe = asked.filter("q <> ''").withColumn("probe", F.substring("q", 1, 3))
-    hits = probe.join(index, F.col("probe") == F.col("piece")).filter(F.contains("key", F.col("q")))
+
+    def pieces(text: str, n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    every = F.array_distinct(F.concat(*[pieces("key", n) for n in (1, 2, 3)]))
+    index = names.filter("key <> ''").select("*", F.explode(every).alias("piece"))
+    own = F.when(F.length("q") > 3, F.array_distinct(pieces("q", 3))).otherwise(F.array("q"))
+    probe = asked.filter("q <> ''").select("query", "q", F.explode(own).alias("piece"))
+    # a piece that no name has counts 0: then there is nothing to join
+    uses = index.groupBy("piece").agg(F.count("*").alias("uses"))
+    rarest = probe.join(uses, "piece", "left").groupBy("query", "q").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "piece")).alias("p"))
+    rarest = rarest.filter("p.uses > 0").select("query", "q", F.col("p.piece").alias("piece"))
+    hits = rarest.join(index, "piece").filter(F.contains("key", F.col("q")))
     alias = F.col("name") != F.col("canonical")
     rank = F.when(F.startswith(F.col("key"), F.col("q")), 0).otherwise(2) + alias.cast("int")
     best = (

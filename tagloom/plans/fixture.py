@@ -6,10 +6,12 @@ results can be checked side by side. It reads the whole table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagloom.functions import text as X
-from tagloom.operators.lineage import settle
+from tagloom.operators.lineage import settle, shared_dir
 from tagloom.operators.lookup import Index
 from tagloom.schema import FIELDS
 from tagloom.sources.dictionary import Dictionary, from_rows
@@ -177,6 +179,50 @@ def fixture_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixture_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of empty files, one for each supplier, made by tasks below the shared folder."""
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
+        """CASE s_suppkey % 7 WHEN 0 THEN 'a/_New/' WHEN 1 THEN 'a/.h' WHEN 2 THEN 'b/Backup_x/' WHEN 3 THEN '_' WHEN 4 THEN 'b/c/' WHEN 5 THEN 'b/c/d e/' ELSE '' END
+           || s_suppkey || CASE s_suppkey % 7 WHEN 1 THEN '.m4a' WHEN 3 THEN '.mp3' WHEN 4 THEN '.txt' WHEN 5 THEN '.FLAC' WHEN 6 THEN '.aiff' ELSE '.flac' END AS name"""
+    )
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+    def touch(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                system.open_output_stream(f"{base}/{name}").close()
+            yield batch
+
+    names.mapInArrow(touch, "name string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def fixture_versions(spark: SparkSession) -> str:
+    """A new place for a written version below the shared folder."""
+    return f"{shared_dir(spark)}/version-{uuid.uuid4().hex}"
+
+
+def fixture_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Unknown values, and a decision for each customer with typical faults."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS k")
+    category = "CASE k % 3 WHEN 0 THEN 'composer' WHEN 1 THEN 'person' ELSE 'ensemble' END"
+    unknown = customers.selectExpr("'Va ' || (k % 800) AS value", f"{category} AS category").groupBy("value", "category").agg(F.count("*").alias("n_paths"))
+    decisions = customers.selectExpr(
+        "CAST(k AS LONG) AS seq", "'Va ' || (k % 900) AS value", f"{category} AS category",
+        "CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 25 = 1 THEN NULL ELSE 'alias' END AS action",
+        """CASE WHEN k % 7 = 0 THEN ' ' WHEN k % 11 = 0 THEN 'Nobody' WHEN k % 3 = 0 THEN 'Ca ' || substr(md5(CAST(k % 1300 AS STRING)), 1, 10)
+           WHEN k % 3 = 1 THEN 'Pe ' || md5(CAST(k % 120 AS STRING)) ELSE 'En ' || md5(CAST(k % 2000 AS STRING)) END AS target""",
+        "CASE WHEN k % 13 = 0 THEN ' ' ELSE 'New ' || (k % 400) END AS canonical",
+        "CASE WHEN k % 17 = 0 THEN NULL ELSE 'n' || (k % 300) END AS entity_id",
+        "CASE WHEN k % 4 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array('Soloist') END AS roles",
+    )
+    return unknown, decisions
+
+
 def derived_dictionary(spark: SparkSession, sf_dir: str, bundled: bool = True) -> Dictionary:
     """A dictionary as large as the tables it is derived from, with typical faults.
     The user's form (``bundled`` False) lacks a third of the entries and some aliases."""

@@ -484,6 +484,27 @@ def other_sql(rules: list[str]) -> dict[str, str]:
           SELECT relative_path, field, rule_id FROM {all_changes} UNION ALL SELECT relative_path, field, 'MANUAL' FROM edits) x
           WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.relative_path = x.relative_path AND res.field = x.field AND res.d = 1) GROUP BY 1""",
         "restore_plan": "SELECT relative_path, 'genre' AS field, coalesce(genre, '') AS current, 'Old' AS snapshot FROM t WHERE track_id % 37 = 0 AND track_id % 31 <> 0",
+        "apply_counters": _EDITS + _proposals(rules) + """, paths AS (SELECT relative_path, count_if(d = 1 OR m = 1) AS n, ends_with(relative_path, 'Track04.flac') AS bad FROM res GROUP BY 1)
+          SELECT t.folder, count(p.n) AS attempted, count_if(p.n > 0 AND NOT bad) AS succeeded, CAST(coalesce(sum(p.n) FILTER (p.n > 0 AND NOT bad), 0) AS BIGINT) AS applied, count_if(p.n > 0 AND bad) AS failed
+          FROM t LEFT JOIN paths p USING (relative_path) GROUP BY 1""",
+        "restore_applied": """SELECT folder, count_if(x) AS attempted, count_if(x AND NOT bad) AS succeeded, count_if(x AND NOT bad) AS applied, count_if(x AND bad) AS failed
+          FROM (SELECT folder, track_id % 37 = 0 AND track_id % 31 <> 0 AS x, ends_with(relative_path, 'Track04.flac') AS bad FROM t) GROUP BY 1""",
+        "verify_partly": _proposals(rules, edits=False) + f", cur AS ({_CURRENT}) SELECT relative_path, field, new_values AS expected, before AS actual FROM plan JOIN cur USING (relative_path, field) WHERE track_id % 3 = 0",
+        "natural_sort_key": """SELECT relative_path, row_number() OVER (ORDER BY list_transform(regexp_extract_all(relative_path, '([0-9]+|[^0-9]+)'), lambda r:
+            CASE WHEN regexp_matches(r, '^[0-9]') THEN {'kind': 0, 'size': length(ltrim(r, '0')), 'digits': ltrim(r, '0'), 'padded': length(r), 'text': ''}
+            ELSE {'kind': 1, 'size': 0, 'digits': '', 'padded': 0, 'text': lower(r)} END)) - 1 AS place FROM t""",
+        "register_works": """SELECT CASE WHEN v = 1 THEN folder || '!' ELSE folder END AS folder, CASE WHEN v = 2 THEN NULL ELSE disc END AS disc, name,
+            CASE WHEN v > 0 THEN 'no_unit' WHEN name = ' ' THEN 'no_name' END AS problem,
+            CASE WHEN v = 0 AND len(an) > 0 AND len(fn) > 0 AND NOT list_has_any(an, fn) THEN 'numbers_disagree' END AS warning
+          FROM (SELECT folder, disc, unnest([0, 1, 2]) AS v, CASE WHEN n_tracks % 5 = 0 THEN ' ' ELSE 'Work ' || (n_tracks % 7) END AS name,
+            list_filter(flatten(list_transform(albums, lambda a: regexp_extract_all(a, '[0-9]+'))), lambda x: length(x) <= 3) AS an,
+            list_filter(regexp_extract_all(regexp_extract(folder, '([^/]*)$', 1), '[0-9]+'), lambda x: length(x) <= 3) AS fn FROM units)""",
+        "override_checks": """SELECT folder, disc, CASE WHEN NOT x THEN c END AS composer, CASE WHEN NOT x THEN d END AS date, x AS exclude,
+            CASE WHEN disc >= 3 THEN 'not_held' WHEN n_tracks % 11 = 0 THEN 'no_note' WHEN NOT x AND c IS NULL AND d IS NULL THEN 'no_effect'
+              WHEN x AND n_tracks % 4 = 0 THEN 'exclude_not_offered' WHEN NOT x AND d = '75' THEN 'year_form'
+              WHEN NOT x AND d IS NOT NULL AND NOT list_contains(dates, d) THEN 'date_not_in_unit'
+              WHEN NOT x AND c IS NOT NULL AND NOT list_contains(composers, c) THEN 'composer_not_offered' END AS problem
+          FROM (SELECT *, CASE n_tracks % 3 WHEN 0 THEN composers[1] WHEN 1 THEN 'Nobody' END AS c, CASE n_tracks % 5 WHEN 0 THEN dates[1] WHEN 1 THEN '1804' WHEN 2 THEN '75' END AS d, n_tracks % 7 = 0 AS x FROM units)""",
         "restore_missing": "SELECT relative_path FROM t WHERE track_id % 31 = 0",
         "restore_added": "SELECT relative_path FROM t WHERE track_id % 31 = 0",
         "manual_edits": _EDITS + "SELECT relative_path, field, before, value AS after, value = '' AS clears, CASE WHEN bulk > 1 THEN 'bulk_edit' ELSE 'edit' END AS code FROM edits",
@@ -636,7 +657,43 @@ def dictionary_sql() -> dict[str, str]:
       hit AS (SELECT query, canonical, name, pos, CASE WHEN starts_with(key, {K("query")}) THEN 0 ELSE 2 END + CASE WHEN name = canonical THEN 0 ELSE 1 END AS rank FROM q JOIN nm ON contains(key, {K("query")})),
       best AS (SELECT query, canonical, min(rank) AS rank, min_by(name, rank * 10 + pos) AS name FROM hit GROUP BY 1, 2)
       SELECT * FROM (SELECT query, canonical, rank, CASE WHEN name <> canonical THEN name END AS matched_alias, row_number() OVER (PARTITION BY query ORDER BY rank, canonical) AS place FROM best) WHERE place <= 20"""
+    letter = "substr('abcdefghijklmnopqrstuvwxyz', CAST({} % 26 AS INTEGER) + 1, 1)"
+    ids = f"""
+      , nm AS (SELECT k AS ord, CASE WHEN k % 3 = 0 THEN '!!' ELSE 'Group: ' || {letter.format('k')} END AS canonical, CASE WHEN k % 3 = 0 THEN 'ensemble' ELSE 'group-' || {letter.format('k')} END AS stem FROM prt),
+      old AS (SELECT DISTINCT CASE WHEN k = 1 THEN 'ensemble' WHEN k % 2 = 0 THEN 'ensemble-' || (k * 7) ELSE 'group-' || {letter.format('k')} || '-' || (k % 10) END AS id FROM supp),
+      per AS (SELECT stem, count(*) + (SELECT count(*) FROM old) + 1 AS most FROM nm GROUP BY 1),
+      free AS (SELECT stem, id, row_number() OVER (PARTITION BY stem ORDER BY n) AS r FROM (
+        SELECT stem, n, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS id FROM (SELECT stem, unnest(range(1, most + 1)) AS n FROM per)) WHERE id NOT IN (SELECT id FROM old)),
+      asked AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY ord) AS r FROM nm)
+      SELECT ord, canonical, id AS entity_id FROM asked JOIN free USING (stem, r)"""
+    decided = f"""
+      , cat AS (SELECT k, CASE k % 3 WHEN 0 THEN 'composer' WHEN 1 THEN 'person' ELSE 'ensemble' END AS category FROM cust),
+      unk AS (SELECT DISTINCT 'Va ' || (k % 800) AS value, category FROM cat),
+      dec AS (SELECT k AS seq, 'Va ' || (k % 900) AS value, category, CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 25 = 1 THEN NULL ELSE 'alias' END AS action,
+        CASE WHEN k % 7 = 0 THEN ' ' WHEN k % 11 = 0 THEN 'Nobody' WHEN k % 3 = 0 THEN {_CA} WHEN k % 3 = 1 THEN 'Pe ' || {_md5('k % 120')} ELSE 'En ' || {_md5('k % 2000')} END AS target,
+        CASE WHEN k % 13 = 0 THEN ' ' ELSE 'New ' || (k % 400) END AS canonical, CASE WHEN k % 17 = 0 THEN NULL ELSE 'n' || (k % 300) END AS entity_id, k % 4 <> 0 AS has_role FROM cat),
+      chk AS (SELECT dec.*, CASE WHEN unk.value IS NULL THEN 'not_found' WHEN action = 'alias' AND target = ' ' THEN 'no_target' WHEN action = 'new' AND canonical = ' ' THEN 'no_name'
+        WHEN action = 'new' AND dec.category = 'ensemble' AND entity_id IS NULL THEN 'no_entity_id' WHEN action = 'new' AND dec.category = 'person' AND NOT has_role THEN 'no_role'
+        WHEN action IS NULL THEN 'no_action' END AS problem FROM dec LEFT JOIN unk ON unk.value = dec.value AND unk.category = dec.category),
+      own AS (SELECT 'composer' AS category, canonical AS target, min(ord) AS ord FROM comp GROUP BY 2 UNION ALL SELECT 'person', canonical, min(ord) FROM pers GROUP BY 2
+        UNION ALL SELECT 'ensemble', canonical, min(ord) FROM ens WHERE canonical IS NOT NULL GROUP BY 2),
+      al AS (SELECT chk.*, own.ord, min(seq) OVER (PARTITION BY chk.category, own.ord, {K('value')}) AS first FROM chk LEFT JOIN own ON own.category = chk.category AND own.target = chk.target WHERE problem IS NULL AND action = 'alias'),
+      nw AS (SELECT *, min(seq) OVER (PARTITION BY category, CASE WHEN category = 'ensemble' THEN entity_id ELSE canonical END) AS first FROM chk WHERE problem IS NULL AND action = 'new'),
+      outc AS (SELECT seq, value, category, action, problem AS code, ord, canonical FROM (SELECT *, CAST(NULL AS BIGINT) AS ord FROM chk) WHERE problem IS NOT NULL
+        UNION ALL SELECT seq, value, category, action, CASE WHEN ord IS NULL THEN 'unknown_target' WHEN seq > first THEN 'claimed' END, ord, canonical FROM al
+        UNION ALL SELECT seq, value, category, action, CASE WHEN seq > first THEN 'claimed' END, NULL, canonical FROM nw)"""
+    entries = " UNION ALL ".join(
+        f"SELECT '{c}' AS category, x.canonical, array_to_string(list_concat(x.aliases, coalesce((SELECT list(o.value ORDER BY o.seq) FROM outc o WHERE o.category = '{c}' AND o.action = 'alias' AND o.code IS NULL AND o.ord = x.ord), [])), '; ') AS aliases FROM {t} x"
+        f" UNION ALL SELECT '{c}', canonical, value FROM outc WHERE category = '{c}' AND action = 'new' AND code IS NULL"
+        for c, t in (("composer", "comp"), ("person", "pers"))
+    )
     return {
+        "listing": """SELECT relative_path, CASE k % 7 WHEN 1 THEN 'M4a' WHEN 3 THEN 'Id3' WHEN 6 THEN 'Id3' ELSE 'Flac' END AS format FROM (
+          SELECT k, CASE k % 7 WHEN 0 THEN 'a/_New/' WHEN 1 THEN 'a/.h' WHEN 3 THEN '_' WHEN 5 THEN 'b/c/d e/' ELSE '' END || k ||
+            CASE k % 7 WHEN 1 THEN '.m4a' WHEN 3 THEN '.mp3' WHEN 5 THEN '.FLAC' WHEN 6 THEN '.aiff' ELSE '.flac' END AS relative_path FROM supp WHERE k % 7 NOT IN (2, 4))""",
+        "entity_ids": ids,
+        "register_names": decided + " SELECT seq, value, category, action, code FROM outc",
+        "registered_entries": decided + " " + entries,
         "dict_issues": issues + clash,
         "dict_merge_plan": merge,
         "dict_merge_apply": f"""SELECT list, entries, 2 AS version FROM (

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tagloom.functions import text as X
 from tagloom.functions.keys import name_key
 from tagloom.operators import apply as A, dictionary_jobs as D, findings as G, reports as R, suggest as S
+from tagloom.operators.lineage import settle
 from tagloom.operators.lookup import build_lookup
+from tagloom.operators.ordering import numbered
 from tagloom.operators.rules import REGISTRY
 from tagloom.operators.units import album_units
 from tagloom.plans import oracle as O
 from tagloom.plans.audit import inspect
 from tagloom.plans.fixture import (
-    derived_dictionary, fixture_edits, fixture_index, fixture_snapshot, fixture_tracks,
+    derived_dictionary, fixture_decisions, fixture_edits, fixture_files, fixture_index, fixture_snapshot, fixture_tracks,
+    fixture_versions,
 )
 from tagloom.schema import FIELDS
 from tagloom.sources import catalogue as C, export as E
@@ -183,9 +186,102 @@ def q_scan(spark, sf):
 
 
 def q_natural(spark, sf):
-    return fixture_tracks(spark, sf).select(
-        "relative_path", F.to_json(X.natural_key(X.file_name_of(F.col("relative_path")))).alias("sort_key")
+    """The place of every path in natural order."""
+    tracks = fixture_tracks(spark, sf).select("relative_path")
+    return numbered(tracks.withColumn("key", X.natural_key(F.col("relative_path"))), "place", "key").select("relative_path", "place")
+
+
+def cannot_write():
+    """The rows of a write that fail, as a locked file would."""
+    return F.when(F.col("relative_path").endswith("Track04.flac"), "cannot write")
+
+
+def folder():
+    return X.folder_of(F.col("relative_path")).alias("folder")
+
+
+def q_applied(spark, sf):
+    """Counters of an apply per folder, from the version it wrote; some rows fail."""
+    done = A.apply_changes(
+        fixture_tracks(spark, sf), proposals(spark, sf), fixture_versions(spark), fixture_versions(spark), error=cannot_write()
+    )
+    return A.counters_of(done.outcomes, folder())
+
+
+def q_restored(spark, sf):
+    """Counters of a restore per folder, from the version it wrote; some rows fail."""
+    tracks = fixture_tracks(spark, sf)
+    done = A.restore_version(fixture_snapshot(tracks), tracks, fixture_versions(spark), error=cannot_write())
+    return A.counters_of(done.outcomes, folder())
+
+
+def q_verify_partly(spark, sf):
+    """Verification of a version to which a third of the planned rows was not written."""
+    tracks, plan = fixture_tracks(spark, sf), settle(A.apply_plan(audit(spark, sf, ALL_RULES)), "plan")
+    k = F.regexp_extract("relative_path", r"/(\d{12}) [^/]*$", 1).cast("long")
+    return A.verify(plan, A.overlay(tracks, plan.filter(k % 3 != 0))).select(
+        "relative_path", "field", texts("expected").alias("expected"), texts("actual").alias("actual")
+    )
+
+
+def q_listing(spark, sf):
+    """The audio files of a folder, names of every kind among them."""
+    return C.list_files(spark, fixture_files(spark, sf)).select("relative_path", "format")
+
+
+def q_entity_ids(spark, sf):
+    """Ids for new ensembles, a third of them of one name."""
+    names = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        "CAST(p_partkey AS LONG) AS ord",
+        "CASE WHEN p_partkey % 3 = 0 THEN '!!' ELSE 'Group: ' || substr('abcdefghijklmnopqrstuvwxyz', CAST(p_partkey % 26 AS INT) + 1, 1) END AS canonical",
+    )
+    old = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr(
+        """CASE WHEN s_suppkey = 1 THEN 'Ensemble' WHEN s_suppkey % 2 = 0 THEN 'ensemble-' || (s_suppkey * 7)
+           ELSE 'group-' || substr('abcdefghijklmnopqrstuvwxyz', CAST(s_suppkey % 26 AS INT) + 1, 1) || '-' || (s_suppkey % 10) END AS entity_id"""
+    )
+    return D.entity_ids(names, old)
+
+
+def registration(spark, sf):
+    dictionary = derived_dictionary(spark, sf)
+    unknown, decisions = fixture_decisions(spark, sf)
+    return D.take_over(dictionary, D.register_unknown(unknown, decisions, build_lookup(dictionary)))
+
+
+def q_registered(spark, sf):
+    """What became of each decision on an unknown value."""
+    return registration(spark, sf)[1]
+
+
+def q_registered_entries(spark, sf):
+    """Composers and persons after the decisions were taken over."""
+    made = registration(spark, sf)[0]
+    parts = [t.select(F.lit(c).alias("category"), "canonical", texts("aliases").alias("aliases")) for c, t in (("composer", made.composers), ("person", made.persons))]
+    return parts[0].unionByName(parts[1])
+
+
+def q_registered_works(spark, sf):
+    """Checks of a work name for every unit, for folders that are none, and without a disc."""
+    units = album_units(C.with_derived(fixture_tracks(spark, sf)), fixture_index(spark)).select("folder", "disc", "n_tracks", "albums")
+    asked = units.select("folder", "disc", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v"), "n_tracks")
+    decisions = asked.selectExpr(
+        "IF(v = 1, folder || '!', folder) AS folder", "IF(v = 2, NULL, disc) AS disc", "'C' AS composer",
+        "IF(n_tracks % 5 = 0, ' ', 'Work ' || (n_tracks % 7)) AS name", "array('x') AS aliases",
+    )
+    return D.register_works(units, decisions).select("folder", "disc", "name", "problem", "warning")
+
+
+def q_override_checks(spark, sf):
+    """Override proposals for every unit against its own values."""
+    units = album_units(C.with_derived(fixture_tracks(spark, sf)), fixture_index(spark)).select("folder", "disc", "n_tracks", "composers", "dates")
+    holds = units.selectExpr("folder", "disc", "IF(n_tracks % 4 = 0, 'DateUnknown', 'WorkUnknown') AS unit_hold").filter("disc < 3")
+    rows = units.selectExpr(
+        "folder", "disc", "CASE n_tracks % 3 WHEN 0 THEN get(composers, 0) WHEN 1 THEN 'Nobody' END AS composer", "CAST(NULL AS STRING) AS work_name",
+        "CASE n_tracks % 5 WHEN 0 THEN get(dates, 0) WHEN 1 THEN '1804' WHEN 2 THEN '75' END AS date", "n_tracks % 7 = 0 AS exclude",
+        "IF(n_tracks % 11 = 0, '', 'note') AS note",
     )
+    names = D.canonicals(derived_dictionary(spark, sf)).filter("category = 'composer'")
+    return D.check_overrides(rows, holds, units, names).select("folder", "disc", "composer", "date", "exclude", "problem")
 
 
 def q_keys(spark, sf):
@@ -301,6 +397,15 @@ OTHER: dict[str, Query] = {
     "natural_sort_key": q_natural,
     "name_keys": q_keys,
     "typo_trial": q_typo_trial,
+    "listing": q_listing,
+    "apply_counters": q_applied,
+    "restore_applied": q_restored,
+    "verify_partly": q_verify_partly,
+    "entity_ids": q_entity_ids,
+    "register_names": q_registered,
+    "registered_entries": q_registered_entries,
+    "register_works": q_registered_works,
+    "override_checks": q_override_checks,
     "dict_issues": q_issues,
     "dict_merge_plan": q_merge,
     "dict_merge_apply": q_merged,

@@ -198,10 +198,15 @@ def list_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     )
 
 
+def normalised(tracks: DataFrame) -> DataFrame:
+    """A field without values is an empty array, never null."""
+    return tracks.withColumns({f: F.coalesce(f, X.no_texts()) for f in FIELDS if f in tracks.columns})
+
+
 def with_derived(tracks: DataFrame) -> DataFrame:
-    """P4-P6 columns used by rules and reports."""
+    """P4-P6 columns used by rules and reports; null fields become empty."""
     path = F.col("relative_path")
-    return tracks.withColumns(
+    return normalised(tracks).withColumns(
         {
             "path_key": F.lower(X.unified_path(path)),
             "folder": X.folder_of(path),
@@ -232,7 +237,7 @@ def in_scope(folder_key: Column, folder: str) -> Column:
 
 def has_empty_field() -> Column:
     """Any field but free text has no value."""
-    tests = [F.size(f) == 0 for f in FIELDS if f != "comment"]
+    tests = [F.coalesce(F.size(f), F.lit(0)) <= 0 for f in FIELDS if f != "comment"]
     out = tests[0]
     for test in tests[1:]:
         out = out | test
@@ -241,7 +246,7 @@ def has_empty_field() -> Column:
 
 def contains_text(query: str) -> Column:
     """Path or any value contains the text, ignoring case."""
-    haystack = F.concat_ws("\n", "relative_path", *FIELDS)
+    haystack = F.concat_ws("\n", "relative_path", *FIELDS)  # skips null fields
     return F.contains(F.upper(haystack), F.upper(F.lit(query)))
 
 

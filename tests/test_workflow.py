@@ -48,7 +48,7 @@ def test_apply_restore_round_trip(spark, tracks):
     found = inspect(before, fixture_index(spark), rules=["R-101", "R-102", "R-103", "R-104", "R-302"])
     done = A.apply_changes(before, found, root, root + "/v2")
     assert done.mismatches.isEmpty() and done.conflicts.isEmpty()
-    assert done.counters.head().asDict() == {"attempted": 2, "succeeded": 2, "applied": 6}
+    assert done.counters.head().asDict() == {"attempted": 2, "succeeded": 2, "applied": 6, "failed": 0}
     after = {r.relative_path: (r.genre, r.date, r.title, r.discnumber) for r in done.written.collect()}
     assert after == {
         "a/1.flac": (["Classic"], ["1993"], [], ["1/1"]), "a/2.flac": (["Classic"], [], [], ["1/1"]),
