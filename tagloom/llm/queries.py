@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer(name: str) -> str:
-    """Path of a public tokenizer file; $TOKENIZERS names another folder."""
-    folder = os.environ.get("TOKENIZERS")
-    if folder:
-        return os.path.join(folder, name)
+    """Path of a public tokenizer file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

@@ -280,6 +280,37 @@ def test_languages(spark):
     assert language_crf.languages(table.limit(0)).count() == 0
 
 
+def test_language_of_long_repeated_and_rare_texts(spark):
+    rng = random.Random(8)
+    words_of = {"en": ["the", "of", "and", "river", "stone"], "de": ["und", "der", "Fluß", "Stein", "nicht"], "ja": ["日本", "語です", "川と", "石"]}
+    text = lambda lang, n: " ".join(rng.choice(words_of[lang]) for _ in range(n))
+    rows = [(i, text("en" if i % 2 else "de", 30), "en" if i % 2 else "de", "x", 1.0) for i in range(3000)]
+    rows += [(4000 + i, text("ja", 3000), "ja", "x", 1.0) for i in range(12)]  # rare, and all above the sample's length
+    rows += [rows[5], rows[5], (5, "der Fluß und der Stein nicht", "de", "x", 1.0), (6000, "12 ?! ²", "en", "x", 1.0), (None, "the river", None, None, None), (6001, "Und-der/Fluß", None, "x", 1.0)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, score double").repartition(4)
+    found = language_crf.languages(table).collect()
+    assert len(found) == len(rows)
+    by_id = {}
+    for r in found:
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert all(r.lang_pred == "ja" for d in range(4000, 4012) for r in by_id[d])
+    assert sorted(r.lang_pred for r in by_id[5]) == ["de", "en", "en", "en"] and len({r.score for r in by_id[5] if r.lang_pred == "en"}) == 1
+    assert by_id[6000][0].lang_pred == "und" and by_id[None][0].lang_pred == "en" and by_id[6001][0].lang_pred == "de"
+
+
+def test_features_of_words_at_once():
+    words = ["a", "Straße", "日本語", "x-y1z", "of"]
+    flat, owner = language_crf.features(words, language_crf.word_hashes(["of", "xyz"]))
+    for i, word in enumerate(words):
+        alone, _ = language_crf.features([word], language_crf.word_hashes(["of", "xyz"]))
+        letters = language_crf.inner(word)
+        assert sorted(flat[owner == i]) == sorted(alone)
+        assert len(alone) == 1 + 2 * min(4, len(letters)) + (len(letters) + 1) + len(letters)
+    other, _ = language_crf.features(["of"], language_crf.word_hashes([]))
+    same, _ = language_crf.features(["of"], language_crf.word_hashes(["of"]))
+    assert (other != same).sum() == 1
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(2)
     step = rng.random((3, 3)) + 0.1
