@@ -1,7 +1,8 @@
 """A catalogue derived from the ``orders`` table, and a small dictionary for it.
 
 ``SCALARS`` is plain SQL that means the same in Spark and in other engines, so
-results can be checked side by side. It reads the whole table.
+results can be checked side by side. It reads the whole table. The folders grow with
+it, and one of them holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ ens(i, v) AS (VALUES (0,'Wiener Philharmoniker'),(1,'Vienna Philharmonic'),(2,'L
 titles(i, v) AS (VALUES (0,'1. Allegro con brio'),(1,'2. Andante'),(2,'Finale: Allgro molto'),(3,'Track04'),(4,'I. Adagio'),(5,'Die Walkure.flac'),(6,'1-1'),(7,'Menuetto'),(8,'Tannhauser Overture'),(9,'Variations on a Theme of Haydn; Brahms'),(10,'第1楽章 Allegro'),(11,'Siegfired and Andate')),
 dates(i, v) AS (VALUES (0,'1975'),(1,'1993-01-22T08:00:00Z'),(2,CAST(NULL AS STRING)),(3,'1992'),(4,'19xx')),
 discs(i, v) AS (VALUES (0,'1/1'),(1,CAST(NULL AS STRING)),(2,'2/2'),(3,'1')),
-b AS (SELECT o_orderkey AS k, o_custkey % 400 AS f FROM orders)
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 40 ELSE CAST(floor(o_custkey / 3) AS BIGINT) END AS f FROM orders)
 SELECT b.k AS track_id, b.f AS f,
        concat(seg.v, '/', comp.v, ' ', CAST(b.f % 9 + 1 AS STRING), ' - ', pf.v, ' ', CAST(b.f AS STRING), '/', lpad(CAST(b.k AS STRING), 12, '0'), ' ', tt.v, '.flac') AS relative_path,
        concat(seg.v, '/', comp.v, ' ', CAST(b.f % 9 + 1 AS STRING), ' - ', pf.v, ' ', CAST(b.f AS STRING)) AS folder,
        tt.v AS title,
        CASE WHEN b.f % 2 = 1 THEN pf.v WHEN b.k % 13 = 0 THEN comp.v WHEN b.k % 17 = 0 THEN CAST(NULL AS STRING) WHEN b.k % 11 = 0 THEN av.v ELSE pf.v END AS artist,
-       en.v AS albumartist,
+       CASE WHEN b.f % 20 IN (5, 14) THEN 'Wiener Philharmoniker' WHEN b.f % 20 = 6 THEN 'Smetana Quartet' ELSE en.v END AS albumartist,
        CASE WHEN b.f % 4 < 2 AND b.k % 10 = 0 THEN cv.v WHEN b.f % 40 = 39 THEN CAST(NULL AS STRING) WHEN b.f % 40 = 38 THEN 'Anton Bruckner' ELSE comp.v END AS composer,
        CASE WHEN b.k % 29 = 0 THEN 'Clara Unknown' END AS composer2,
        CASE WHEN b.k % 4 = 0 THEN CAST(NULL AS STRING) ELSE pf.v END AS conductor,

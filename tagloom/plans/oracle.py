@@ -528,9 +528,10 @@ def other_sql(rules: list[str]) -> dict[str, str]:
         + ", ".join(f"coalesce(x.e_{f}, {_text(f)}) AS {f}" for f in _FIELDS)
         + " FROM t LEFT JOIN (SELECT track_id AS tid, " + ", ".join(f"max(value) FILTER (field = '{f}') AS e_{f}" for f in _FIELDS) + " FROM edits GROUP BY 1) x ON x.tid = t.track_id",
         "row_filters": f"SELECT starts_with(folder_key, 'brahms/') OR folder_key = 'brahms' AS in_scope, ({empty}) AS has_empty, contains(upper({haystack}), 'KARAJAN') AS has_text, count(*) AS n FROM t GROUP BY 1, 2, 3",
-        "scan": "SELECT relative_path, CASE WHEN ends_with(relative_path, 'Track04.flac') THEN NULL ELSE 'Flac' END AS format, "
-        + ", ".join(f"CASE WHEN ends_with(relative_path, 'Track04.flac') THEN NULL ELSE {_text(f)} END AS {f}" for f in _FIELDS)
-        + ", CASE WHEN ends_with(relative_path, 'Track04.flac') THEN 'cannot read' END AS message FROM t WHERE NOT starts_with(relative_path, 'Dvorak')",
+        "scan": "SELECT regexp_replace(relative_path, '\\.flac$', CASE track_id % 7 WHEN 0 THEN '.m4a' WHEN 1 THEN '.MP3' ELSE '.flac' END) AS relative_path, "
+        "CASE WHEN contains(relative_path, 'Track04') THEN NULL WHEN track_id % 7 = 0 THEN 'M4a' WHEN track_id % 7 = 1 THEN 'Id3' ELSE 'Flac' END AS format, "
+        + ", ".join(f"CASE WHEN contains(relative_path, 'Track04') THEN NULL ELSE {_text(f)} END AS {f}" for f in _FIELDS)
+        + ", CASE WHEN contains(relative_path, 'Track04') THEN 'cannot read' END AS message FROM t WHERE NOT starts_with(relative_path, 'Dvorak')",
         "name_keys": f"SELECT v AS value, count(*) AS n, {K('v')} AS key FROM (SELECT unnest(list_concat([artist, albumartist, conductor, album, title], composer_l)) AS v FROM t) WHERE v IS NOT NULL GROUP BY 1",
         "typo_trial": "SELECT title AS before, regexp_replace(title, '\\bAllgro\\b', 'Allegro', 'g') AS after, count(*) AS n FROM t WHERE regexp_matches(title, '\\bAllgro\\b') GROUP BY 1, 2",
         "alias_hints": f"""SELECT DISTINCT folder, hint FROM (SELECT folder, s, unnest([s, CASE WHEN trim(split_part(s, '-', 1)) NOT IN ('', s) THEN trim(split_part(s, '-', 1)) END]) AS hint FROM segs

@@ -167,16 +167,28 @@ def q_filters(spark, sf):
 
 
 def q_scan(spark, sf):
-    """Raw tag rows made from the catalogue go through the scan again."""
+    """Raw tag rows of three formats, made from the catalogue, go through the scan again."""
     tracks = fixture_tracks(spark, sf)
-    names = C.RAW_NAMES["Flac"]
-    entries = [F.struct(F.lit(names[f]).alias("k"), F.when(F.size(f) > 0, F.concat(F.col(f), F.array(F.lit(" "))))
-                        .otherwise(F.col(f)).alias("v")) for f in FIELDS]
+    k = F.regexp_extract("relative_path", r"/(\d{12}) [^/]*$", 1).cast("long")
+    fmt = F.when(k % 7 == 0, "M4a").when(k % 7 == 1, "Id3").otherwise("Flac")
+
+    def raw_tags(name: str):
+        """Values with a blank one behind; in M4a, track numbers are pairs of bytes."""
+        entries = []
+        for f, tag in C.RAW_NAMES[name].items():
+            values = F.when(F.size(f) > 0, F.concat(F.col(f), F.array(F.lit(" ")))).otherwise(F.col(f))
+            if name == "M4a" and f == "tracknumber":
+                part = lambda v, i: F.lpad(F.hex(F.split_part(v, F.lit("/"), F.lit(i)).cast("long")), 4, "0")
+                values = F.transform(f, lambda v: F.concat(F.lit("0x0000"), part(v, 1), part(v, 2), F.lit("0000")))
+            entries.append(F.struct(F.lit(tag).alias("k"), values.alias("v")))
+        return F.map_from_entries(F.array(*entries))
+
+    extension = F.when(fmt == "M4a", ".m4a").when(fmt == "Id3", ".MP3").otherwise(".flac")
+    path = F.concat(F.regexp_replace("relative_path", r"\.flac$", ""), extension)
     raw = tracks.select(
-        F.when(F.col("relative_path").startswith("Dvorak"), F.concat(F.lit("Backup_1/"), "relative_path"))
-        .otherwise(F.col("relative_path")).alias("relative_path"),
-        "full_path", F.map_from_entries(F.array(*entries)).alias("raw_tags"),
-        F.when(F.col("relative_path").endswith("Track04.flac"), F.lit("cannot read")).alias("error"),
+        F.when(path.startswith("Dvorak"), F.concat(F.lit("Backup_1/"), path)).otherwise(path).alias("relative_path"), "full_path",
+        F.when(fmt == "M4a", raw_tags("M4a")).when(fmt == "Id3", raw_tags("Id3")).otherwise(raw_tags("Flac")).alias("raw_tags"),
+        F.when(F.contains("relative_path", F.lit("Track04")), F.lit("cannot read")).alias("error"),
     )
     good, failed = C.scan(raw)
     keep = ["relative_path", "format"]
