@@ -265,8 +265,12 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     key = ["lang", "order", "id", "print"]
     each = max(LEAST_OF_LANGUAGE, sample // max(1, known.agg(F.count_distinct("lang")).first()[0]))
     # rows are chosen without their texts, as every task sends its first ones; only the texts of the chosen follow
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "print"))
-    chosen = F.broadcast(known.select(key).distinct().withColumn("place", place).where(F.col("place") <= each).select(key))
+    # first within parts of a language, then among the few rows that are left, as one language can have most rows
+    first = known.select(key).distinct().withColumn("part", F.pmod("order", F.lit(64)))
+    for parts in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("order", "id", "print"))
+        first = first.withColumn("place", place).where(F.col("place") <= each)
+    chosen = F.broadcast(first.select(key))
     rows = known.join(chosen, key, "left_semi").groupBy(key).agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: tuple(r[c] for c in key))
     model = train([r["text"] for r in rows], [r["lang"] for r in rows])
