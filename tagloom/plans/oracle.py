@@ -195,13 +195,25 @@ def _all_values() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _find(rule: str, field: str, before: str, after: str, severity: str, hold: str, code: str, source: str) -> str:
+def _find(rule: str, field: str, before: str, after: str, severity: str, hold: str, code: str, source: str, **args: str) -> str:
     return (
         f"SELECT relative_path, '{field}' AS field, {before} AS before, {after} AS after, '{rule}' AS rule_id, "
-        f"{severity} AS severity, {hold} AS hold, {code} AS code FROM {source}"
+        f"{severity} AS severity, {hold} AS hold, {code} AS code, {_args(**args)} AS args FROM {source}"
     )
 
 
+def _args(**args: str) -> str:
+    """The arguments of the evidence as text, by name; those that are null are left out."""
+    listed = ", ".join(f"'{k}=' || {v}" for k, v in sorted(args.items()))
+    return f"array_to_string(list_filter([{listed}], lambda z: z IS NOT NULL), ', ')" if args else "''"
+
+
+def _listed(tests: list[tuple[str, str]]) -> str:
+    """The texts whose tests hold, joined."""
+    listed = ", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in tests)
+    return f"array_to_string(list_filter([{listed}], lambda y: y IS NOT NULL), ' / ')"
+
+
 def _r202(field: str) -> str:
     guard = " AND NOT vi.prot" if field == "albumartist" else ""
     fix = "CASE WHEN person IS NOT NULL THEN person WHEN ens_id IS NOT NULL THEN ens_canonical END"
@@ -210,7 +222,7 @@ def _r202(field: str) -> str:
         f"CASE WHEN {fix} IS NULL THEN 'Info' ELSE 'Error' END", "'None'",
         f"CASE WHEN {fix} IS NULL THEN 'not_in_dictionary' ELSE 'canonical' END",
         f"t JOIN vi ON vi.v = t.{field} WHERE named IS NULL{guard} AND NOT (person IS NULL AND ens_id IS NOT NULL AND split) "
-        f"AND NOT coalesce({fix} = t.{field}, false)",
+        f"AND NOT coalesce({fix} = t.{field}, false)", canonical=fix,
     )
 
 
@@ -230,7 +242,8 @@ def _r207() -> str:
         ]
     )
     return (
-        f"SELECT relative_path, field, before, '' AS after, 'R-207' AS rule_id, 'Warning' AS severity, 'None' AS hold, 'name_form' AS code "
+        f"SELECT relative_path, field, before, '' AS after, 'R-207' AS rule_id, 'Warning' AS severity, 'None' AS hold, 'name_form' AS code, "
+        + _args(problems=_listed([(life, "'life_span'"), (order, "'surname_first'"), (caps, "'all_caps'")]), value="v") + " AS args "
         f"FROM ({fields}) x JOIN vi USING (v) WHERE vi.composer IS NULL AND vi.person IS NULL AND vi.ens_id IS NULL AND ({life} OR {order} OR {caps})"
     )
 
@@ -246,6 +259,7 @@ def _r208(field: str) -> str:
     )
 
 
+_R210_HIT = "(SELECT min_by(h.composer, h.o * 1000 + h.i) FROM fhit h WHERE h.kind = '{}' AND h.owner = {} AND h.composer <> tagc.tagged)"
 _R206_PARTS = "list_filter(list_transform(string_split(v, ';'), lambda p: trim(p)), lambda p: p <> '')"
 _R206_UNIQ = f"len(list_distinct(list_transform({_R206_PARTS}, lambda p: upper(p))))"
 
@@ -259,34 +273,35 @@ RULE_SQL = {
     ),
     "R-104": _find(
         "R-104", "date", "date", "coalesce(CAST(yr AS VARCHAR), '')", "CASE WHEN yr IS NULL THEN 'Info' ELSE 'Warning' END", "'None'",
-        "CASE WHEN yr IS NULL THEN 'year_unreadable' ELSE 'year_extracted' END", "t WHERE date IS NOT NULL AND NOT regexp_matches(date, '^\\d{4}$')",
+        "CASE WHEN yr IS NULL THEN 'year_unreadable' ELSE 'year_extracted' END", "t WHERE date IS NOT NULL AND NOT regexp_matches(date, '^\\d{4}$')", date="date",
     ),
     "R-105": _find("R-105", "date", "''", "''", "'Info'", "'None'", "'date_missing'", "t WHERE date IS NULL"),
     "R-201": _find(
         "R-201", "composer", "t.composer_t", "coalesce(vi.composer, '')", "CASE WHEN vi.composer IS NULL THEN 'Info' ELSE 'Error' END", "'None'",
         "CASE WHEN vi.composer IS NULL THEN 'not_in_dictionary' ELSE 'canonical' END",
         "t LEFT JOIN vi ON vi.v = t.composer_l[1] AND len(t.composer_l) = 1 WHERE len(t.composer_l) > 0 AND vi.composer IS DISTINCT FROM t.composer_t",
+        canonical="vi.composer",
     ),
     "R-202": " UNION ALL ".join(_r202(f) for f in ("artist", "conductor", "albumartist")),
     "R-203": _find(
         "R-203", "artist", "t.artist", "coalesce(fc.hit, '')", "CASE WHEN fc.hit IS NULL THEN 'Info' ELSE 'Error' END", "'None'",
-        "CASE WHEN fc.hit IS NULL THEN 'conductor_unknown' ELSE fc.src END", "t JOIN vi ON vi.v = t.artist JOIN fc USING (track_id) WHERE vi.named IS NOT NULL",
+        "CASE WHEN fc.hit IS NULL THEN 'conductor_unknown' ELSE fc.src END", "t JOIN vi ON vi.v = t.artist JOIN fc USING (track_id) WHERE vi.named IS NOT NULL", composer="vi.named",
     ),
     "R-204": _find(
         "R-204", "albumartist", "t.albumartist", "coalesce(s.ens, '')", "CASE WHEN s.ens IS NULL THEN 'Info' ELSE 'Error' END", "'None'",
         "CASE WHEN s.ens IS NULL THEN 'ensemble_unknown' ELSE 'from_sibling' END",
         "tp t JOIN vi ON vi.v = t.albumartist LEFT JOIN (SELECT folder_key, min_by(v2.ens_canonical, upper(relative_path)) AS ens FROM t JOIN vi v2 ON v2.v = t.albumartist "
-        "AND NOT v2.has_eras AND v2.ens_canonical IS NOT NULL GROUP BY 1) s USING (folder_key) WHERE vi.named IS NOT NULL AND NOT t.prot",
+        "AND NOT v2.has_eras AND v2.ens_canonical IS NOT NULL GROUP BY 1) s USING (folder_key) WHERE vi.named IS NOT NULL AND NOT t.prot", composer="vi.named",
     ),
     "R-205": (
         "SELECT relative_path, field, any_value(before) AS before, '' AS after, 'R-205' AS rule_id, 'Info' AS severity, 'None' AS hold, "
-        f"CASE WHEN field = 'title' THEN 'semicolon_in_title' ELSE 'semicolon' END AS code FROM ({_all_values()}) x JOIN t USING (track_id) "
+        f"CASE WHEN field = 'title' THEN 'semicolon_in_title' ELSE 'semicolon' END AS code, '' AS args FROM ({_all_values()}) x JOIN t USING (track_id) "
         "WHERE contains(v, ';') GROUP BY relative_path, field"
     ),
     "R-206": (
         f"SELECT relative_path, field, before, CASE WHEN {_R206_UNIQ} = 1 THEN {_R206_PARTS}[1] ELSE '' END AS after, 'R-206' AS rule_id, "
         f"CASE WHEN {_R206_UNIQ} = 1 THEN 'Error' ELSE 'Info' END AS severity, 'None' AS hold, "
-        f"CASE WHEN {_R206_UNIQ} = 1 THEN 'repeated' ELSE 'partly_repeated' END AS code FROM ({_all_values()}) x JOIN t USING (track_id) "
+        f"CASE WHEN {_R206_UNIQ} = 1 THEN 'repeated' ELSE 'partly_repeated' END AS code, 'times=' || len({_R206_PARTS}) AS args FROM ({_all_values()}) x JOIN t USING (track_id) "
         f"WHERE len({_R206_PARTS}) >= 2 AND {_R206_UNIQ} < len({_R206_PARTS})"
     ),
     "R-207": _r207(),
@@ -296,17 +311,22 @@ RULE_SQL = {
         "CASE WHEN e.name IS NULL THEN 'era_unknown' ELSE 'era_name' END",
         "(SELECT t.*, vi.ens_id FROM tp t JOIN vi ON vi.v = t.albumartist WHERE vi.split AND NOT t.prot) t LEFT JOIN (SELECT track_id, min_by(eras.name, o) AS name FROM t JOIN vi ON vi.v = t.albumartist "
         "JOIN eras ON eras.ens_id = vi.ens_id AND yr IS NOT NULL AND (from_y IS NULL OR yr >= from_y) AND (until_y IS NULL OR yr < until_y) GROUP BY 1) e USING (track_id) "
-        "WHERE e.name IS NULL OR e.name <> t.albumartist",
+        "WHERE e.name IS NULL OR e.name <> t.albumartist", entity="t.ens_id", year="CASE WHEN e.name IS NOT NULL THEN t.yr END",
     ),
     "R-210": (
-        "SELECT t.relative_path, 'composer' AS field, t.composer_t AS before, '' AS after, 'R-210' AS rule_id, 'Info' AS severity, 'None' AS hold, 'other_composer' AS code "
+        "SELECT t.relative_path, 'composer' AS field, t.composer_t AS before, '' AS after, 'R-210' AS rule_id, 'Info' AS severity, 'None' AS hold, 'other_composer' AS code, "
+        + _args(
+            tagged="tagc.tagged", from_file_name=_R210_HIT.format("stem", "t.stem"), from_title=_R210_HIT.format("title", "t.title"),
+            from_folder="CASE WHEN folderc.n = 1 THEN " + _R210_HIT.format("folder", "t.folder") + " END",
+        ) + " AS args "
         "FROM t JOIN tagc USING (track_id) JOIN folderc ON folderc.folder_key = t.folder_key WHERE "
         "EXISTS (SELECT 1 FROM fhit h WHERE h.kind = 'stem' AND h.owner = t.stem AND h.composer <> tagc.tagged) "
         "OR EXISTS (SELECT 1 FROM fhit h WHERE h.kind = 'title' AND h.owner = t.title AND h.composer <> tagc.tagged) "
         "OR (folderc.n = 1 AND EXISTS (SELECT 1 FROM fhit h WHERE h.kind = 'folder' AND h.owner = t.folder AND h.composer <> tagc.tagged))"
     ),
     "R-301": " UNION ALL ".join(
-        _find("R-301", f, f, _typo_fixed(f), "'Error'", "'None'", "'typo'", f"t WHERE regexp_matches({f}, '{_TYPO_ANY}')") for f in ("title", "album")
+        _find("R-301", f, f, _typo_fixed(f), "'Error'", "'None'", "'typo'", f"t WHERE regexp_matches({f}, '{_TYPO_ANY}')",
+              patterns=_listed([(f"regexp_matches({f}, {_lit(x)})", _lit(x)) for x, _, _ in fx.TYPOS])) for f in ("title", "album")
     ),
     "R-302": _find("R-302", "title", "title", f"trim(regexp_replace(title, {_EXT}, ''))", "'Error'", "'None'", "'extension_in_title'", f"t WHERE regexp_matches(title, {_EXT}) AND trim(regexp_replace(title, {_EXT}, '')) <> ''"),
     "R-303": _find(
@@ -317,6 +337,8 @@ RULE_SQL = {
         "R-304", "title", "title", "''", "'Info'", "'None'", "'diacritics'",
         "t WHERE list_has_any(list_transform(regexp_split_to_array(title, '[ \\t,;:/()\\[\\]&.\"''?!]+'), lambda x: lower(x)), "
         "['walkure', 'gotterdammerung', 'tannhauser', 'freischutz', 'sangerkrieg', 'jagervergnugen', 'konig', 'nurnberg'])",
+        words=_listed([("contains(lower(title), 'walkure')", "'Walkure'"), ("contains(lower(title), 'tannhauser')", "'Tannhauser'")]),
+        suggestion="replace(replace(title, 'Walkure', 'Walküre'), 'Tannhauser', 'Tannhäuser')",
     ),
     "R-401": _find(
         "R-401", "composer", "''", "coalesce(sib, fld, pth, '')", "CASE WHEN coalesce(sib, fld, pth) IS NULL THEN 'Info' ELSE 'Error' END", "'None'",
@@ -337,27 +359,34 @@ RULE_SQL = {
     ),
     "R-501": _find(
         "R-501", "album", "t.album", "''", "'Warning'", "'None'", "'mixed_composers'",
-        "t JOIN (SELECT album, count(DISTINCT tagged) AS n FROM t JOIN tagc USING (track_id) GROUP BY 1 HAVING n >= 2) m ON m.album = t.album "
+        "t JOIN (SELECT album, count(DISTINCT tagged) AS n, min(tagged) AS lowest, max(tagged) AS highest FROM t JOIN tagc USING (track_id) GROUP BY 1 HAVING n >= 2) m ON m.album = t.album "
         "LEFT JOIN uov ON uov.folder = t.folder AND uov.disc = t.disc LEFT JOIN overrides o ON o.ord = uov.ord WHERE NOT (coalesce(o.exclude, false) OR o.composer IS NOT NULL)",
+        n_composers="m.n", first="m.lowest", last="m.highest",
     ),
     "R-502": _find(
         "R-502", "album", "album", "''", "'Info'", "'None'", "CASE WHEN lc.composer IS NULL THEN 'japanese_album' ELSE 'japanese_short_name' END",
         f"t LEFT JOIN lc ON lc.key <> '' AND lc.key = {K(_ALBUM_PREFIX)} WHERE regexp_matches(album, '{JP}')",
+        composer="lc.composer", number="CASE WHEN lc.composer IS NOT NULL THEN regexp_extract(album, '(\\d+)$', 1) END",
     ),
     "R-503": _find(
         "R-503", "title", "title", "''", "'Info'", "'None'", "'mixed_styles'",
-        f"(SELECT *, count(*) OVER (PARTITION BY folder_key) AS nt, count(DISTINCT st) OVER (PARTITION BY folder_key) AS ns FROM (SELECT *, {_STYLE} AS st FROM t)) WHERE nt >= 2 AND ns >= 2",
+        f"(SELECT *, count(*) OVER (PARTITION BY folder_key) AS nt, count(DISTINCT st) OVER (PARTITION BY folder_key) AS ns FROM (SELECT *, {_STYLE} AS st FROM t)) JOIN (SELECT folder_key, array_to_string(list_sort(list(DISTINCT {_STYLE})), ' / ') AS sts FROM t GROUP BY 1) USING (folder_key) WHERE nt >= 2 AND ns >= 2",
+        style="st", styles="sts",
     ),
     "R-504": _find(
         "R-504", "album", "coalesce(t.album, '')", "CASE WHEN d.hold = 'None' THEN d.name ELSE '' END", "'Warning'", "d.hold", "d.code",
-        "t JOIN udec d USING (folder, disc) WHERE d.hold <> 'None' OR t.album IS DISTINCT FROM d.name",
+        "t JOIN udec d USING (folder, disc) JOIN u2 USING (folder, disc) WHERE d.hold <> 'None' OR t.album IS DISTINCT FROM d.name",
+        work="u2.uw", first_album="u2.albums[1]", override_date="CASE WHEN len(u2.dates) <> 1 THEN u2.o_date END",
     ),
     # No CP932 decoder here: the misread texts of the fixture and what they stand for, listed.
     "R-403": (
-        "SELECT relative_path, field, before, '' AS after, 'R-403' AS rule_id, 'Info' AS severity, 'None' AS hold, 'mojibake' AS code "
+        "SELECT relative_path, field, before, '' AS after, 'R-403' AS rule_id, 'Info' AS severity, 'None' AS hold, 'mojibake' AS code, 'decoded=' || m.decoded AS args "
         f"FROM ({_all_values()}) x JOIN t USING (track_id) JOIN (VALUES ({_lit(fx.MISREAD)}, 'カラヤン')) m(misread, decoded) ON m.misread = x.v AND x.v = x.before"
     ),
 }
+#: The rules with the arguments of their evidence.
+_WITH_ARGS = RULE_SQL
+RULE_SQL = {rule: f"SELECT * EXCLUDE (args) FROM ({sql})" for rule, sql in _WITH_ARGS.items()}
 #: Rules that clear a value instead of naming a new one.
 _CLEARS = "(rule_id = 'R-403' AND before <> '')"
 
@@ -368,7 +397,7 @@ def with_prelude(body: str) -> str:
 
 def changes_sql(rules: list[str]) -> str:
     """The findings with their derived columns, as a subquery."""
-    union = " UNION ALL ".join(f"SELECT * FROM ({RULE_SQL[r]})" for r in rules)
+    union = " UNION ALL ".join(f"SELECT * FROM ({_WITH_ARGS[r]})" for r in rules)
     fix = f"(hold = 'None' AND (after <> '' AND after <> before OR {_CLEARS}))"
     return f"(SELECT *, {fix} AS fix, {fix} AND severity <> 'Info' AS selected FROM ({union}))"
 
@@ -441,19 +470,13 @@ def _unit_reports() -> dict[str, str]:
     }
 
 
-#: Rules whose rationale the SQL can write; the arguments of the others' evidence are not in it.
-RATIONALE_RULES = ["R-101", "R-102", "R-103", "R-104", "R-105", "R-302"]
-#: Queries whose SQL has only the rows of these rules; tests compare those rows.
-PART_ONLY = ["top_findings", "change_export"]
-
-
 def other_sql(rules: list[str]) -> dict[str, str]:
-    all_changes, few = changes_sql(rules), changes_sql(RATIONALE_RULES)
+    all_changes = changes_sql(rules)
     counts = "count(*) AS found, count_if(fix) AS fixable, count_if(selected) AS selected, count_if(hold <> 'None') AS held"
     category = "CASE WHEN field = 'composer' THEN 'composer' WHEN field = 'albumartist' THEN 'ensemble' ELSE 'person' END"
     ordinal = "list_position(['title','artist','albumartist','composer','conductor'], field)"
-    why = "CASE WHEN code = 'year_extracted' OR code = 'year_unreadable' THEN code || ' (date=' || before || ')' ELSE code END"
-    after = "CASE WHEN fix THEN after ELSE '' END"
+    why = "code || CASE WHEN args = '' THEN '' ELSE ' (' || args || ')' END"
+    after = f"CASE WHEN {_CLEARS} THEN '(clear)' WHEN fix THEN after ELSE '' END"
     missing = ", ".join(
         f"count_if({'len(composer_l) = 0' if f == 'composer' else f + ' IS NULL'}) AS missing_{f}" for f in _FIELDS if f != "comment"
     )
@@ -467,7 +490,7 @@ def other_sql(rules: list[str]) -> dict[str, str]:
           min_by(relative_path, rule_id || upper(relative_path) || {ordinal}) AS sample_path, string_agg(DISTINCT rule_id, ' / ' ORDER BY rule_id) AS rules
           FROM {changes_sql(["R-201", "R-202"])} WHERE NOT fix AND hold = 'None' AND before <> '' GROUP BY 1, 2""",
         "top_findings": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, field, before_text, after_text, rationale) AS rank FROM (
-          SELECT rule_id, field, before AS before_text, {after} AS after_text, {why} AS rationale, count(*) AS n FROM {few} GROUP BY ALL)) WHERE rank <= 8""",
+          SELECT rule_id, field, before AS before_text, {after} AS after_text, {why} AS rationale, count(*) AS n FROM {all_changes} GROUP BY ALL)) WHERE rank <= 8""",
         "selection": f"""SELECT rule_id, count(*) AS found, count_if(CASE WHEN fix AND starts_with(lower(relative_path), 'brahms/') THEN NOT selected ELSE selected END) AS selected
           FROM {all_changes} GROUP BY 1""",
         "folder_tree": """SELECT anc AS folder, count(*) AS n_files FROM (SELECT unnest(['', split_part(folder, '/', 1), folder]) AS anc FROM t) GROUP BY 1""",
@@ -521,7 +544,7 @@ def other_sql(rules: list[str]) -> dict[str, str]:
             CASE WHEN nm AND NOT cn AND composer IS NULL AND person IS NULL AND ens_id IS NULL THEN 'not_in_dictionary' END], lambda x: x IS NOT NULL)) AS code FROM en""",
         "change_export": f"""SELECT rule_id AS rule, severity, CASE WHEN hold <> 'None' THEN 'held' WHEN selected THEN 'confirmed' ELSE 'review' END AS classification,
           CASE WHEN selected THEN 'o' ELSE '' END AS selected, relative_path AS path, regexp_extract(relative_path, '^(.*)/', 1) AS folder,
-          regexp_extract(relative_path, '([^/]*)$', 1) AS file, field, before, {after} AS after, {why} AS rationale FROM {few}""",
+          regexp_extract(relative_path, '([^/]*)$', 1) AS file, field, before, {after} AS after, {why} AS rationale FROM {all_changes}""",
         "summary_export": f"SELECT rule_id AS rule, count(*) AS found, count_if(selected) AS selected, count_if(hold <> 'None') AS held FROM {all_changes} GROUP BY 1",
         "track_export": _EDITS + """SELECT relative_path AS path, folder, file, 'Flac' AS format,
           CASE WHEN EXISTS (SELECT 1 FROM edits e WHERE e.track_id = t.track_id) THEN 'o' ELSE '' END AS edited, CASE WHEN len(composer_l) > 1 THEN 'o' ELSE '' END AS multiple, """

@@ -431,7 +431,4 @@ OTHER: dict[str, Query] = {
 }
 
 QUERIES: dict[str, Query] = {rule_name(r.id): rule_query(r.id) for r in REGISTRY} | OTHER
-_SQL = {rule_name(r): O.with_prelude(sql) for r, sql in O.RULE_SQL.items()} | O.other_sql(ALL_RULES)
-ORACLES: dict[str, str] = {name: sql for name, sql in _SQL.items() if name not in O.PART_ONLY}
-#: SQL of part of a query's rows.
-PARTS: dict[str, str] = {name: _SQL[name] for name in O.PART_ONLY}
+ORACLES: dict[str, str] = {rule_name(r): O.with_prelude(sql) for r, sql in O.RULE_SQL.items()} | O.other_sql(ALL_RULES)
