@@ -47,7 +47,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """Rows of at most 256 rendered turns of each maximal conversation: conv_id, segment, first_place, n_turns, total_turns, rendered.
 
     The segments of a conversation, one after another, are its rendering. Turns stand by their number; equal numbers by
-    role and text; a null number comes first. Equal rows count once; null roles and texts are empty. Rows without a
+    role and text; a null number comes first. Turns are dealt by number in blocks of 256 numbers, so all turns of one
+    conversation that have no number, or the same one, are one window. Equal rows count once; null roles and texts are empty. Rows without a
     conversation id belong to none and are left out. Turn markers inside a text or role are broken by a blank, so they
     cannot end a turn. Other columns are ignored, so their names cannot clash.
     """

@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if 100 * |common shingles| >= percent * |all shingles| (percent of at least 75: the
     bands are set for that). Null, empty and word-free texts have no shingles, are linked with nothing and kept. A
     row without an id is linked with nothing and has a null component_id, but is kept. Rows of one id count as one
-    document when links are followed. Other columns of `docs` are ignored, so their names cannot clash.
+    document when links are followed. Ids are whole numbers, or text that casts to one. Other columns of `docs` are ignored, so their names cannot clash.
     """
     if percent < 75:
         raise ValueError("the bands are set for a similarity of 0.75 or more")

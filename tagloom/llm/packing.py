@@ -228,7 +228,7 @@ def pack(
 
     A document is its ids and `end_id`; null and empty texts are the end id alone. Only documents of more than
     `capacity` ids are cut, into pieces of `capacity` of which the first may be shorter. Repeated rows are packed
-    each on its own; an empty table gives no rows. Other columns are ignored, so their names cannot clash. What
+    each on its own; an empty table gives no rows. Ids are whole numbers, or text that casts to one. Other columns are ignored, so their names cannot clash. What
     passes the driver is the histogram of lengths and its plan, whatever the number of documents.
     """
     spark = docs.sparkSession

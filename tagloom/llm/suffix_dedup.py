@@ -376,7 +376,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     `kept_text` is what remains, without characters that were cut apart; it and `spans` are null without `texts`. Null is the empty text. Rows of one id are
     documents that do not count against each other; equal rows get equal results. A row without an id is neither
-    smaller nor larger than any, so it stays whole. Texts below 50 bytes stay whole. Columns named in `carry` come
+    smaller nor larger than any, so it stays whole. Ids are whole numbers, or text that casts to one. Texts below 50
+    bytes stay whole. Columns named in `carry` come
     along in the struct `carried`.
     """
     groups = group_count(docs, text_col, GROUP_BYTES)

@@ -151,8 +151,9 @@ def toxicity_scores(
     """One row per input row: id, held_out, score, predicted, carried.
 
     Learns from at most `sample` rows of either label, the first by a hash of their id, outside the held-out fold;
-    `labelled` is the table with their texts (default: `docs`). A third of them calibrates. Every whole text is
-    scored; null and empty texts count as one empty window. Without labels of both classes no row is predicted
+    `labelled` is the table with their texts (default: `docs`). Texts above `SAMPLE_CHARS` characters are not among
+    them, and the base is trained on the first 40,000 windows of their ordinary texts. A third of them calibrates.
+    Every whole text is scored, however long; an empty table gives no rows; null and empty texts count as one empty window. Without labels of both classes no row is predicted
     toxic. Repeated labels of one id: label 1 wins. Columns named in `carry` come along in the struct `carried`.
     """
     texts = (docs if labelled is None else labelled).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

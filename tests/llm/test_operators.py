@@ -347,6 +347,27 @@ def test_toxicity(spark):
     assert not any(r.predicted for r in toxicity.toxicity_scores(table, labels.limit(0)).collect())
 
 
+def test_toxicity_of_long_repeated_and_no_texts(spark):
+    table = labelled(spark).selectExpr("doc_id", "text", "toxic AS label", "'x' AS score", "1 AS predicted")
+    labels = table.selectExpr("doc_id", "label AS toxic").where("toxic IS NOT NULL")
+    marked = [r.text for r in table.where("label = 1").limit(1).collect()][0]
+    odd = [(8001, marked * 400), (8002, None), (8003, marked), (8003, marked), (None, marked)]
+    more = table.union(spark.createDataFrame([(d, t, None, "x", 1) for d, t in odd], table.schema))
+    found = toxicity.toxicity_scores(more, labels.union(labels.limit(5)), carry=["score"]).collect()
+    assert len(found) == more.count() and len({r.score for r in found if r.doc_id == 8003}) == 1
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[8001].predicted == by_id[8003].predicted == by_id[None].predicted == 1 and by_id[8002].predicted == 0
+    assert by_id[8001].carried["score"] == "x"
+    assert toxicity.toxicity_scores(table.limit(0), labels).count() == 0
+
+
+def test_operators_on_no_documents(spark, docs):
+    items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert quality.quality_verdicts(docs.limit(0), labels).count() == 0
+
+
 def test_sharding(spark, docs):
     names = lambda n: spark.createDataFrame([(f"s{i}",) for i in range(n)] + [(None,), ("s0",)], "shard string")
     tables = {n: {r.slot: r.shard for r in sharding.lookup_table(names(n), slots=211).collect()} for n in (5, 6)}
