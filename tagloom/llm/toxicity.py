@@ -111,6 +111,8 @@ class Logistic:
         """`odds`: how many times commoner label 0 is among all labelled rows than in y."""
         rows = np.where(y == 1, 1.0, odds)
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-9) if len(y) else (0.0, 1.0)
+        # beyond the rows it has seen nothing is known: a far longer text counts as the longest of them
+        self.low, self.high = (x.min(0), x.max(0)) if len(y) else (-np.inf, np.inf)
         self.weight, self.share = None, float(y.mean()) if len(y) else 0.0
         if len(set(y.tolist())) < 2:
             return
@@ -123,7 +125,7 @@ class Logistic:
         self.weight = weight
 
     def _rows(self, x: np.ndarray) -> np.ndarray:
-        return np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
+        return np.c_[(np.clip(x, self.low, self.high) - self.mean) / self.scale, np.ones(len(x))]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.weight is None:
