@@ -44,7 +44,8 @@ def settle(df: DataFrame, name: str, by: str | None = None, records: int = 0) ->
 
 
 def clear(spark: SparkSession) -> None:
-    """Removes the tables that ``settle`` has written in this application."""
+    """Removes the tables that ``settle`` has written in this application, an index's
+    lookup among them: for the end, when nothing that was made from them is read any more."""
     for path in _SETTLED.pop(spark.sparkContext.applicationId, []):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_workflow import changes
 
 from tagloom.functions import text as X
-from tagloom.operators import apply as A, dictionary_jobs as D
+from tagloom.operators import apply as A, dictionary_jobs as D, lineage
 from tagloom.operators.lineage import clear, settle
 from tagloom.operators.ordering import numbered, numbered_within
 from tagloom.plans.fixture import fixture_dictionary, fixture_index
@@ -95,7 +95,8 @@ def test_natural_order(spark):
     assert spark.createDataFrame([("５",)], "v string").select(X.natural_key(F.col("v"))[0]["kind"].alias("k")).head().k == 1
 
 
-def test_settled_tables_are_removed(spark):
+def test_settled_tables_are_removed(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "_SETTLED", {})  # the index of other tests stays
     table = settle(spark.range(3).toDF("x"), "temporary")
     place = table.inputFiles()[0].removeprefix("file://")
     assert os.path.exists(place)
