@@ -8,6 +8,13 @@ from tagloom.operators.lineage import settle
 
 # Bits of a row's number within its partition in Spark's increasing ids.
 _ROW_BITS = 33
+# Rows that one range is to hold; more rows make more ranges.
+RANGE_ROWS = 200_000
+
+
+def range_count(df: DataFrame, range_rows: int = RANGE_ROWS) -> int:
+    """Ranges so that each holds about ``range_rows`` rows, and at least one a shuffle partition."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // range_rows))
 
 
 def numbered(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
@@ -15,8 +22,9 @@ def numbered(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
 
     The order is dealt to partitions by range, so equal leading values can lie in
     several; rows are counted per partition, and the counts before a partition are
-    added to a row's number in it. One task sees only one count per partition."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    added to a row's number in it. One task sees only one count per partition. The
+    partitions grow in number with the rows, so that a task sorts no more of a larger table."""
+    ordered = df.repartitionByRange(range_count(df), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = settle(ordered, "ordered")
     part = F.shiftright("_id", _ROW_BITS)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
