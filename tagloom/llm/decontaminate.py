@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import merge_spans
+from tagloom.llm.common import merge_spans, release
 
 WINDOW = 13
 #: A document is contaminated if 20 * n_hit >= n_words.
@@ -136,6 +136,7 @@ def _scan(items: list[tuple[str, str]], window: int) -> Callable:
     built: list[Automaton] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what an earlier stage's task left in this worker
         if not built:
             built.append(Automaton([(name, fold(text)) for name, text in items], window))
         for batch in batches:

@@ -259,3 +259,13 @@ def test_damaged_payloads_are_noticed():
     assert warc.parse_record(good + b"\r\n\r\n")["payload"] == b"hi"
     with pytest.raises(ValueError):
         warc.parse_record(good.replace(b"\r\n\r\nhi", b"\r\n\r\nho") + b"\r\n\r\n")
+
+
+def test_scan_returns_memory_of_earlier_stages_first(monkeypatch):
+    import importlib
+
+    module = importlib.import_module("tagloom.llm.decontaminate")
+    done = []
+    monkeypatch.setattr(module, "release", lambda: done.append("release"))
+    monkeypatch.setattr(module, "Automaton", lambda *a: done.append("automaton"))
+    assert list(module._scan([("a", "b c")], 13)(iter(()))) == [] and done == ["release", "automaton"]
