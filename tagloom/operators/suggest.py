@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tagloom.functions import text as X
-from tagloom.functions.keys import decode_mojibake, has_japanese_run, maybe_mojibake, name_key, name_keys
+from tagloom.functions.keys import decode_mojibake, has_japanese_run, maybe_mojibake, name_key, name_key_of, name_keys
 from tagloom.operators import reports
-from tagloom.operators.lineage import cut
+from tagloom.operators.lineage import cut, settle
 from tagloom.operators.lookup import DICTIONARY_TOKEN, WHOLE, Index
 from tagloom.plans.audit import AuditContext, inspect
 from tagloom.sources.dictionary import Dictionary
@@ -97,15 +97,15 @@ def folder_hints(folders: DataFrame, index: Index, first_only: bool = False) ->
     parts = F.transform(X.segments(F.col("folder")), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     rows = folders.select("folder").distinct().select("folder", F.explode(parts).alias("p"))
     rows = rows.select("folder", F.col("p.i").alias("i"), F.col("p.s").alias("segment"))
-    rows = index.resolve(rows, name_key(F.col("segment")), "w", "composer").filter("w_composer is null")
+    rows = index.resolve(rows, name_key_of("segment"), "w", "composer").filter("w_composer is null")
     if first_only:
         rows = rows.groupBy("folder").agg(F.min(F.struct("i", "segment")).alias("m")).select("folder", "m.*")
     both = rows.select(
         "folder", "i",
         F.posexplode(F.array(F.col("segment"), X.head_of(F.col("segment")))).alias("j", "hint"),
     ).filter("hint is not null")
-    both = index.resolve(both, name_key(F.col("hint")), "h", "composer").filter("j = 0 or h_composer is null")
-    usable = both.withColumn("key", name_key(F.col("hint"))).filter("key <> ''")
+    both = index.resolve(both, name_key_of("hint"), "h", "composer").filter("j = 0 or h_composer is null")
+    usable = both.withColumn("key", name_key_of("hint")).filter("key <> ''")
     return usable.groupBy("folder", "hint", "key").agg((F.min(F.struct("i", "j"))).alias("pos"))
 
 
@@ -137,11 +137,12 @@ def suggest_works(units: DataFrame, index: Index) -> DataFrame:
     from_folder = units.select(*unit, "composer").join(hints, "folder").select(
         *unit, "composer", F.struct(F.lit(1).alias("a"), F.col("pos.i").alias("b"), F.col("pos.j").alias("c")).alias("pos"), "hint"
     )
-    hint = from_albums.unionByName(from_folder)
+    # Each part that several others are made of is written once, or every one of them would make it again.
+    hint = settle(from_albums.unionByName(from_folder), "hints")
     latin = hint.filter(~X.has_japanese(F.col("hint")))
     row_id = [*unit, "pos"]
-    cleaned = strip_composers(latin, index, row_id).filter(
-        (F.length("cleaned") >= 2) & F.col("cleaned").rlike(r"\p{L}")
+    cleaned = settle(
+        strip_composers(latin, index, row_id).filter((F.length("cleaned") >= 2) & F.col("cleaned").rlike(r"\p{L}")), "cleaned"
     )
     text = {"cleaned": (F.array("cleaned"), WHOLE + DICTIONARY_TOKEN)}
     cleaned = index.with_facts(cleaned, text, "contained").filter("cleaned_contained is null")
@@ -163,6 +164,7 @@ def suggest_works(units: DataFrame, index: Index) -> DataFrame:
             F.flatten(F.collect_list(F.when(has_hint, name_keys(X.tokens(F.col("hint"), X.WORD_SEPARATORS)))))
         ).alias("words"),
     ).withColumn("numbers", F.array_distinct("n"))
+    facts = settle(facts, "numbers")
     works = index.dictionary.works.filter("trim(canonical) <> ''")
     same = facts.join(works.select(F.col("composer"), "canonical"), "composer").filter(
         (F.size("numbers") == 0) | (F.size(F.array_intersect("numbers", X.numbers_in(F.col("canonical")))) > 0)
@@ -239,20 +241,21 @@ def works_template(units: DataFrame, index: Index) -> dict[str, DataFrame]:
     single = units.filter(F.size("composers") == 1).withColumn("composer", F.get("composers", F.lit(0)))
     hints = folder_hints(single, index, first_only=True)
     linked = single.select("folder", "disc", "composer").join(hints, "folder")
-    scoped = linked.select(
+    # Each part that several others are made of is written once, or every one of them would make it again.
+    scoped = settle(linked.select(
         F.struct("folder", "disc").alias("item"), F.struct("composer", "key").alias("key"), "composer", "folder",
         "disc", "hint", "pos", F.col("key").alias("hint_key"),
-    )
+    ), "hints")
     labels = components(scoped.select("item", "key"))
-    member = scoped.join(labels, "key")
+    member = settle(scoped.join(labels, "key"), "members")
     unit_group = member.select("folder", "disc", "composer", "label").distinct()
     group_keys = member.select("composer", "label", "hint_key").distinct()
     preferred = member.groupBy("folder", "disc", "composer", "label").agg(F.max(F.struct("pos", "hint", "hint_key")).alias("p"))
     aliases = preferred.select("composer", "label", F.col("p.hint").alias("alias"), F.col("p.hint_key").alias("key"), "folder")
     named = _without_mojibake(single.select("folder", "disc", F.explode("albums").alias("album")))
-    claims = (
+    claims = settle(
         named.join(unit_group, ["folder", "disc"]).withColumn("key", name_key(F.col("album"))).filter("key <> ''")
-        .groupBy("composer", "label", "key", "album").agg(F.min("folder").alias("folder"))
+        .groupBy("composer", "label", "key", "album").agg(F.min("folder").alias("folder")), "claims"
     )
     owners = claims.select("composer", "key", "label").distinct().groupBy("composer", "key").agg(F.count("*").alias("owners"))
     open_claims = claims.join(
@@ -260,9 +263,9 @@ def works_template(units: DataFrame, index: Index) -> dict[str, DataFrame]:
     ).join(owners, ["composer", "key"])
     ambiguous = open_claims.filter("owners > 1").select("composer", "album", "owners").distinct()
     promoted = open_claims.filter("owners = 1").select("composer", "label", F.col("album").alias("alias"), "key", "folder")
-    alias = aliases.unionByName(promoted).groupBy("composer", "label", "key").agg(
+    alias = settle(aliases.unionByName(promoted).groupBy("composer", "label", "key").agg(
         F.min("alias").alias("alias"), F.min("folder").alias("folder")
-    )
+    ), "aliases")
     works = alias.groupBy("composer", "label").agg(F.array_sort(F.collect_set("alias")).alias("names")).select(
         "composer",
         F.filter("names", lambda n: ~X.has_japanese(n)).alias("aliases"),
