@@ -1,5 +1,6 @@
 """What a whole audit asks of the driver: one plan at a time, and no table of many rows by way of it."""
 
+import pytest
 from conftest import row
 
 from tagloom.operators import lineage
@@ -35,11 +36,14 @@ def test_findings_of_many_passes_are_written_pass_by_pass(spark, tracks, monkeyp
     assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
     assert found.columns == CHANGE_COLUMNS == whole.columns
     assert found.count() > 4 and sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    with pytest.raises(ValueError):
+        P.inspect(rows, index, rules=[])
     assert {r["rule_id"] for r in rule_summary(found).collect()} == {"R-101", "R-103", "R-205", "R-501", None}
 
 
-def test_a_pass_is_planned_when_those_before_it_are_written(spark):
-    seen = []
+def test_a_pass_is_planned_when_those_before_it_are_written(spark, monkeypatch):
+    seen, freed = [], []
+    monkeypatch.setattr(lineage, "release", freed.append)
 
     def frames():
         for i in range(3):
@@ -47,7 +51,7 @@ def test_a_pass_is_planned_when_those_before_it_are_written(spark):
             yield spark.range(i).selectExpr("id", f"array('{i}', null) AS v")  # the first has no rows
 
     found = lineage.settle_all(spark, frames(), "parts")
-    assert [n - seen[0] for n in seen] == [0, 1, 2]
+    assert [n - seen[0] for n in seen] == [0, 1, 2] and len(freed) == 3
     assert sorted(map(tuple, found.collect())) == [(0, ["1", None]), (0, ["2", None]), (1, ["2", None])]
 
 
